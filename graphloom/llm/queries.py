@@ -6,19 +6,29 @@ contract's digest columns from its output.
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup
+from graphloom.llm import decontamination, exact_dedup, secrets
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_secrets": op8_secrets,
 }
 
 ORACLES = {

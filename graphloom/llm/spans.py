@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<at:bigint,until:bigint,match:string,left:string,right:string>>"
-_NONE = F.lit(None).cast(SPAN)
 
 
 def no_spans() -> Column:
