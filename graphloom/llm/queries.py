@@ -6,13 +6,22 @@ contract's digest columns from its output.
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, exact_dedup, secrets
+import public_tokenizers
+
+from graphloom.llm import bpe, decontamination, exact_dedup, pii, secrets, token_files
+from graphloom.llm.shared import scratch
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op3_decontamination(spark, sf_dir):
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,13 +30,26 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark, sf_dir):
+    path = scratch(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), BYTE_BPE, path)
+    return token_files.documents(spark, path)
+
+
+def op7_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_files": op5_token_files,
+    "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
 }
 
