@@ -440,7 +440,7 @@ def codec(path: str) -> Codec:
 
 def pieces(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with some BATCH_CHARS of text each."""
-    sizes = pc.utf8_length(batch.column(text)).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         total += n + 8

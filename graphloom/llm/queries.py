@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from graphloom.llm import bpe, decontamination, exact_dedup, pii, secrets, token_files
+from graphloom.llm import bpe, decontamination, exact_dedup, language, pii, secrets, token_counts, token_files
 from graphloom.llm.shared import scratch
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -36,6 +37,10 @@ def op5_token_files(spark, sf_dir):
     return token_files.documents(spark, path)
 
 
+def op6_language(spark, sf_dir):
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -44,13 +49,19 @@ def op8_secrets(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark, sf_dir):
+    return token_counts.counts(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_files": op5_token_files,
+    "op6_language": op6_language,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLES = {
