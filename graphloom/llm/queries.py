@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from graphloom.llm import bpe, decontamination, exact_dedup, language, pii, secrets, token_counts, token_files
+from graphloom.llm import bpe, decontamination, exact_dedup, language, pii, secrets, substring_dedup, token_counts, token_files
 from graphloom.llm.shared import scratch
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,11 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_substring_dedup(spark, sf_dir):
+    index = substring_dedup.FingerprintIndex(spark, scratch(spark, "fingerprints"))
+    return substring_dedup.report(table(spark, sf_dir, "documents"), index)
+
+
 def op3_decontamination(spark, sf_dir):
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +60,7 @@ def op9_token_counts(spark, sf_dir):
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_files": op5_token_files,
