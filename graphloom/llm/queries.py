@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from graphloom.llm import bpe, decontamination, exact_dedup, language, pii, secrets, substring_dedup, token_counts, token_files
+from graphloom.llm import bpe, decontamination, exact_dedup, language, minhash_dedup, pii, secrets, substring_dedup, token_counts, token_files
 from graphloom.llm.shared import scratch
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,6 +58,10 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.counts(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op10_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.components(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -68,6 +72,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op9_token_counts": op9_token_counts,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 ORACLES = {
