@@ -1,4 +1,5 @@
 import random
+from collections import defaultdict
 
 import pytest
 
@@ -12,23 +13,26 @@ def words(text):
 
 def brute(docs, items):
     """All diagonals of all pairs that share a masked window, and the best stretch of each."""
-    out = {}
     pad = lambda w: w + [""] * (dc.WIDTH - len(w))
     kept = [[j for j, c in enumerate(m) if c == "1"] for m in dc.MASKS]
+    windows, item_words = defaultdict(list), {i: words(u) for i, u in items}
+    for i, iw in item_words.items():
+        b = pad(iw)
+        for q in range(len(b) - dc.WIDTH + 1 if iw else 0):
+            for m, k in enumerate(kept):
+                windows[m, tuple(b[q + j] for j in k)].append((i, q))
+    out = {}
     for d, t in docs:
         dw = words(t)
-        for i, u in items:
-            iw = words(u)
-            if not dw or not iw:
-                continue
-            a, b = pad(dw), pad(iw)
-            diagonals = {p - q for p in range(len(a) - dc.WIDTH + 1) for q in range(len(b) - dc.WIDTH + 1) if any(all(a[p + j] == b[q + j] for j in k) for k in kept)}
-            for g in diagonals:
-                agree = [0 <= q + g < len(dw) and dw[q + g] == iw[q] for q in range(len(iw))]
-                n = min(len(iw), dc.STRETCH)
-                score = max(sum(agree[s : s + n]) for s in range(len(iw) - n + 1)) / n
-                if score >= dc.SIMILARITY:
-                    out[d, i] = min(out.get((d, i), (0, 0)), (-score, g))
+        a = pad(dw)
+        pairs = {(i, p - q) for p in range(len(a) - dc.WIDTH + 1 if dw else 0) for m, k in enumerate(kept) for i, q in windows.get((m, tuple(a[p + j] for j in k)), ())}
+        for i, g in pairs:
+            iw = item_words[i]
+            agree = [0 <= q + g < len(dw) and dw[q + g] == iw[q] for q in range(len(iw))]
+            n = min(len(iw), dc.STRETCH)
+            score = max(sum(agree[s : s + n]) for s in range(len(iw) - n + 1)) / n
+            if score >= dc.SIMILARITY:
+                out[d, i] = min(out.get((d, i), (0, 0)), (-score, g))
     return {k: (g, -s) for k, (s, g) in out.items()}
 
 
