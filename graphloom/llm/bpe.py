@@ -438,13 +438,13 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def pieces(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with some BATCH_CHARS of text each."""
+def pieces(batch: pa.RecordBatch, text: int = 1, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with some ``chars`` characters of text each."""
     sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         total += n + 8
-        if total >= BATCH_CHARS:
+        if total >= chars:
             yield batch.slice(start, i + 1 - start)
             start, total = i + 1, 0
     if start < batch.num_rows:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.bpe import pieces
 from graphloom.llm.components import connected
 from graphloom.llm.shared import materialise, text_or_empty
-from graphloom.llm.substring_dedup import mix, word_hashes
+from graphloom.llm.substring_dedup import BATCH_CHARS, mix, word_hashes
 
 TREES, DEPTH = 40, 5
 #: Signature values that are compared, and the share of equal ones below which a pair is unlike. With 0.8
@@ -80,7 +80,7 @@ def _sketch(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, 1, BATCH_CHARS):
                 n = piece.num_rows
                 row, value = shingles(piece.column(1), words)
                 sizes = np.bincount(row, minlength=n)

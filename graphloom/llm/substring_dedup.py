@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import pieces
-from graphloom.llm.shared import materialise, text_or_empty
+from graphloom.llm.shared import materialise, scratch, text_or_empty
 
 WINDOW = 50
 GRAM = 10
 #: At most so many shared anchors (8 bytes each) or documents with removals are broadcast; more are joined by shuffle.
 BROADCAST_ANCHORS = 2_000_000
 BROADCAST_DOCUMENTS = 500_000
+#: Characters of text handled at once; the hashes take some 50 bytes for each.
+BATCH_CHARS = 1_000_000
 #: Runs that trigger compaction.
 MAX_RUNS = 6
 
@@ -148,7 +150,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, 1, BATCH_CHARS):
                 row, anchor = Windows(piece.column(1)).anchors()
                 yield pa.record_batch([pa.array(anchor.view(np.int64)), piece.column(0).take(pa.array(row))], ["anchor", "doc_id"])
 
@@ -176,12 +178,12 @@ def shared_windows(docs: DataFrame, shared: DataFrame, places: DataFrame) -> Dat
     """
     texts = _texts(docs).where("doc_id IS NOT NULL")
     if shared.count() <= BROADCAST_ANCHORS:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.anchor for r in shared.collect()], np.int64)))
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy()))
 
         def run(batches):
             own = known.value
             for batch in batches:
-                for piece in pieces(batch):
+                for piece in pieces(batch, 1, BATCH_CHARS):
                     w = Windows(piece.column(1))
                     found = np.minimum(np.searchsorted(own, w.anchor.view(np.int64)), max(0, len(own) - 1))
                     some = np.flatnonzero(own[found] == w.anchor.view(np.int64)) if len(own) else np.zeros(0, np.int64)
@@ -191,7 +193,7 @@ def shared_windows(docs: DataFrame, shared: DataFrame, places: DataFrame) -> Dat
 
     def run_joined(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, 1, BATCH_CHARS):
                 w = Windows(piece.column(1))
                 some = [np.flatnonzero((w.row == k) & np.isin(w.anchor.view(np.int64), a)) for k, a in enumerate(piece.column(2).to_pylist())]
                 yield _window_batch(piece, w, np.concatenate(some))
@@ -200,6 +202,15 @@ def shared_windows(docs: DataFrame, shared: DataFrame, places: DataFrame) -> Dat
     return texts.join(by_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(run_joined, WINDOWS)
 
 
+def _by_window(windows: DataFrame) -> DataFrame:
+    """Windows in a table bucketed by fingerprint: one shuffle serves both the aggregation and the join after it."""
+    spark = windows.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, "windows")
+    name = "windows_" + path[-12:]
+    windows.repartition(n, "one", "two").write.format("parquet").option("path", path).bucketBy(n, "one", "two").sortBy("one", "two").saveAsTable(name)
+    return spark.table(name)
+
+
 class FingerprintIndex:
     """Runs of anchors under ``path``, each a table bucketed and sorted by anchor.
 
@@ -285,7 +296,7 @@ def duplicates(batch: DataFrame, index: FingerprintIndex, history: DataFrame | N
             if other < run:
                 old = old.unionByName(index.read(other))
         windows = windows.unionByName(shared_windows(history, shared, old).withColumn("fresh", F.lit(False)))
-    windows = materialise(windows, "windows")
+    windows = _by_window(windows)
     first = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     found = windows.where("fresh").join(first, ["one", "two"]).where("doc_id > least")
     found = found.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"))
@@ -301,7 +312,7 @@ def removals(batch: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for piece in pieces(b):
+            for piece in pieces(b, 1, BATCH_CHARS):
                 n_words, n_removed, kept = [], [], []
                 for text, starts in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
                     words = _WORD.findall(text)
