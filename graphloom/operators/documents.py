@@ -59,7 +59,7 @@ class Context:
         kind = self.keywords.get(key, {}).get("type")
         if kind == "@id":
             return self.resource(str(value))
-        if isinstance(value, dict):
+        if isinstance(value, dict) and "@value" in value:
             if "@language" in value:
                 return terms.term('"' + str(value["@value"]).replace("\\", "\\\\").replace('"', '\\"') + '"@' + value["@language"].lower())
             kind, value = iri(value.get("@type", ""), self.prefixes) or kind, value["@value"]
@@ -91,7 +91,8 @@ def _flatten(doc: dict, context: Context, unknown: str, place: str) -> tuple[str
                 raise UnknownKeywordError(key)
             continue
         for i, v in enumerate(values if isinstance(values, list) else [values]):
-            if isinstance(v, dict) and "@value" not in v:
+            as_json = context.keywords.get(key, {}).get("type") == terms.RDF + "JSON"
+            if isinstance(v, dict) and "@value" not in v and not as_json:
                 child, more = _flatten(v, context, unknown, f"{node}/{key}/{i}")
                 out += [(node, predicate, child), *more]
             else:
