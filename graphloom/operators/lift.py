@@ -76,9 +76,14 @@ class Lifted:
                 templates[v] = self.resource(target)
         return Solutions(df.select(*[c.alias(v) for v, c in out.items()]), templates)
 
-    def triples(self, table: str, columns: list[str] | None = None) -> DataFrame:
-        """The triples of one table, or of some of its columns, from a single scan."""
+    def triples(self, table: str, columns: list[str] | None = None, key=None) -> DataFrame:
+        """The triples of one table, or of some of its columns, or of one resource, from a single scan.
+
+        A known ``key`` is compared as it is stored, so Parquet can skip what does not hold it.
+        """
         spec, df = self.tables[table], self.read(table)
+        if key is not None:
+            df = df.where(F.col(spec.key) == key)
         kinds = dict(df.dtypes)
         subject = F.concat(F.lit(self.resource(table)), F.col(spec.key).cast("string"))
         cells = []

@@ -46,13 +46,13 @@ def q01_scan_predicate(spark, sf):
     UNION ALL SELECT '{X}/customer#c_mktsegment', c_mktsegment FROM customer WHERE c_custkey = 7
     UNION ALL SELECT '{names.PREFIXES["rdf"]}type', '{X}/customer')""")
 def q02_scan_subject(spark, sf):
-    g = store.TripleStore(spark, Lifted(spark, sf).by_column("customer"))
+    g = store.TripleStore(spark, Lifted(spark, sf).triples("customer", key=7))
     return g.predicate_objects(f"{X}/customer/7").where(F.col("p") != f"{X}/customer#c_acctbal").select("p", text("o"))
 
 
 @query(f"SELECT '{X}/customer/' || c_custkey AS s, '{X}/customer#c_mktsegment' AS p FROM customer WHERE c_mktsegment = 'BUILDING'")
 def q03_scan_object(spark, sf):
-    return store.TripleStore(spark, Lifted(spark, sf).by_column("customer")).subject_predicates('"BUILDING"')
+    return store.TripleStore(spark, Lifted(spark, sf).triples("customer")).subject_predicates('"BUILDING"')
 
 
 @query("SELECT o_orderpriority AS o FROM orders")
