@@ -52,14 +52,17 @@ _NATIVE = {"boolean": "boolean", "tinyint": "byte", "smallint": "short", "int":
 def from_native(value: Column, kind: str) -> Column:
     """A literal term from a native column of a Spark type (its simple string)."""
     if kind.startswith("decimal"):
-        return literal(value, XSD + "decimal")
+        return F.concat(F.lit('"'), value.cast("string"), F.lit(f'"^^<{XSD}decimal>'))
     if kind in ("timestamp", "timestamp_ntz"):
         return literal(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), XSD + "dateTime")
     if kind == "binary":
         return literal(F.hex(value), XSD + "hexBinary")
     if kind.startswith(("array", "map", "struct")):
         return literal(F.to_json(value), RDF + "JSON")
-    return literal(value, XSD + _NATIVE[kind] if kind in _NATIVE else None)
+    if kind in _NATIVE:
+        # numbers, booleans and dates have nothing to escape
+        return F.concat(F.lit('"'), value.cast("string"), F.lit(f'"^^<{XSD}{_NATIVE[kind]}>'))
+    return literal(value)
 
 
 def is_literal(term: Column) -> Column:

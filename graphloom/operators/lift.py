@@ -102,17 +102,50 @@ class Lifted:
             out = part if out is None else out.unionByName(part)
         return out
 
-    def by_column(self, table: str) -> DataFrame:
-        """One branch for each column, for patterns that bind the predicate: only that column is then read."""
+    def view(self, *tables: str) -> View:
+        """Some tables as a graph that hands out the branch of a known predicate alone."""
+        return View(self, tables or tuple(self.tables))
+
+    def by_column(self, table: str, only: str | None = None) -> DataFrame:
+        """One branch for each column, for patterns that bind the predicate: only that column is then read.
+
+        ``only`` keeps the branch of one predicate.
+        """
         spec, df = self.tables[table], self.read(table)
         kinds, out = dict(df.dtypes), None
         subject = F.concat(F.lit(self.resource(table)), F.col(spec.key).cast("string")).alias("s")
         for c in [*df.columns, None]:
+            if only is not None and only != (TYPE if c is None else self.predicate(table, c)):
+                continue
             if c is None:
                 value, predicate = F.lit(f"{self.base}/{table}"), TYPE
             else:
                 value = F.concat(F.lit(self.resource(spec.links[c])), F.col(c).cast("string")) if c in spec.links else terms.from_native(F.col(c), kinds[c])
                 predicate = self.predicate(table, c)
-            part = df.select(subject, F.lit(predicate).alias("p"), value.alias("o")).where("o IS NOT NULL AND s IS NOT NULL")
+            # nulls go before terms are made: the scan skips them, and no filter repeats a long expression
+            full = F.col(spec.key).isNotNull() if c in (None, spec.key) else F.col(spec.key).isNotNull() & F.col(c).isNotNull()
+            part = df.where(full).select(subject, F.lit(predicate).alias("p"), value.alias("o"))
             out = part if out is None else out.unionByName(part)
         return out
+
+
+class View:
+    """Tables as a graph for patterns and search.
+
+    A known predicate picks its branch before any plan is made, so plans stay as small as the query:
+    Catalyst would prune the other branches too, but only after working through all of them.
+    """
+
+    def __init__(self, lifted: Lifted, tables: tuple[str, ...]):
+        self.lifted, self.tables = lifted, tables
+
+    def with_predicate(self, p: str) -> DataFrame:
+        out = None
+        for t in self.tables:
+            part = self.lifted.by_column(t, p) if p == TYPE or p.startswith(f"{self.lifted.base}/{t}#") else None
+            if part is not None:
+                out = part if out is None else out.unionByName(part)
+        return out if out is not None else self.lifted.spark.createDataFrame([], "s string, p string, o string")
+
+    def all(self) -> DataFrame:
+        return self.lifted.graph(*self.tables)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms
 from graphloom.functions.names import PREFIXES
+from graphloom.operators.solutions import everything, with_predicate
 
 TYPE = PREFIXES["rdf"] + "type"
 
 
-def search(triples: DataFrame, type=None, criteria: dict | None = None, regex: dict | None = None, flags: str = "", skip_blanks: bool = True, name=lambda key: key) -> DataFrame:
+def search(triples, type=None, criteria: dict | None = None, regex: dict | None = None, flags: str = "", skip_blanks: bool = True, name=lambda key: key) -> DataFrame:
     """Distinct subjects (column s) that meet all conditions.
 
     ``type``: one or several types, all of which must hold. ``criteria``: key to value; a key with
@@ -20,19 +21,27 @@ def search(triples: DataFrame, type=None, criteria: dict | None = None, regex: d
     ``m``, ``s``, ``q``. ``name`` turns a key's parts into predicates. Literals are compared by lexical form,
     resources by term. Every condition reads one predicate's part of the triples.
     """
-    out = triples.select("s")
+    conditions, fixed = [], None
     for t in [type] if isinstance(type, str) else type or []:
-        out = out.join(triples.where((F.col("p") == TYPE) & (F.col("o") == t)).select("s"), "s", "left_semi")
+        conditions.append(with_predicate(triples, TYPE).where(F.col("o") == t).select("s"))
     for source, is_pattern in ((criteria or {}, False), (regex or {}, True)):
         for key, wish in source.items():
             if key == "@id":
-                out = out.where(F.col("s").rlike(_flagged(wish, flags)) if is_pattern else F.col("s") == wish)
+                rule = F.col("s").rlike(_flagged(wish, flags)) if is_pattern else F.col("s") == wish
+                fixed = rule if fixed is None else fixed & rule
                 continue
             for one in wish if isinstance(wish, (list, tuple)) else [wish]:
-                out = out.join(_holders(triples, [name(k) for k in key.split(".")] if "://" not in key else [key], one, is_pattern, flags), "s", "left_semi")
+                conditions.append(_holders(triples, [name(k) for k in key.split(".")] if "://" not in key else [key], one, is_pattern, flags))
+    # the first condition's subjects are narrowed by the others; only without any are all subjects read
+    out = conditions[0] if conditions else everything(triples).select("s")
+    if fixed is not None:
+        out = out.where(fixed)
     if skip_blanks:
         out = out.where(~F.col("s").startswith("_:"))
-    return out.distinct()
+    out = out.distinct()
+    for other in conditions[1:]:
+        out = out.join(other, "s", "left_semi")
+    return out
 
 
 def _flagged(pattern: str, flags: str) -> str:
@@ -42,14 +51,14 @@ def _flagged(pattern: str, flags: str) -> str:
     return f"(?{inline}){pattern}" if inline else pattern
 
 
-def _holders(triples: DataFrame, path: list[str], wish, is_pattern: bool, flags: str) -> DataFrame:
+def _holders(triples, path: list[str], wish, is_pattern: bool, flags: str) -> DataFrame:
     """Subjects from which a path of predicates leads to a wished value; built from the value back."""
-    last = triples.where(F.col("p") == path[-1])
+    last = with_predicate(triples, path[-1])
     if wish is not None:
         last = last.where(_matches(F.col("o"), wish, is_pattern, flags))
     found = last.select("s")
     for p in reversed(path[:-1]):
-        step = triples.where(F.col("p") == p)
+        step = with_predicate(triples, p)
         found = step.join(found.select(F.col("s").alias("o")), "o", "left_semi").select("s")
     return found
 
@@ -63,4 +72,6 @@ def _matches(o: Column, wish, is_pattern: bool, flags: str) -> Column:
         return terms.number(o) == float(wish)
     if wish.startswith('"') or "://" in wish or wish.startswith("_:"):
         return o == wish
-    return o.startswith('"') & (terms.lexical(o) == wish)
+    quoted = terms.term('"' + wish.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t") + '"')
+    # the literal itself, or with a language or a datatype behind it
+    return (o == quoted) | o.startswith(quoted + "@") | o.startswith(quoted + "^^")

@@ -175,15 +175,24 @@ class Solutions:
         return out.where(~F.col("s").startswith('"') & ~F.col("p").startswith("_:")).distinct()
 
 
-def pattern(triples: DataFrame, s: str, p: str, o: str) -> Solutions:
+def with_predicate(triples, p: str) -> DataFrame:
+    """Triples of one predicate, from a DataFrame or a view that knows where they are."""
+    return triples.where(F.col("p") == p) if isinstance(triples, DataFrame) else triples.with_predicate(p)
+
+
+def everything(triples) -> DataFrame:
+    return triples if isinstance(triples, DataFrame) else triples.all()
+
+
+def pattern(triples, s: str, p: str, o: str) -> Solutions:
     """Solutions of one triple pattern: parts that start with ``?`` are variables, others are terms.
 
     Terms become filters on the scan (pushed to Parquet, and pruning partitions by predicate).
     """
-    df, names = triples, {}
+    df, names = with_predicate(triples, p) if not p.startswith("?") else everything(triples), {}
     for column, part in (("s", s), ("p", p), ("o", o)):
         if not part.startswith("?"):
-            df = df.where(F.col(column) == part)
+            df = df if column == "p" else df.where(F.col(column) == part)
         elif part[1:] in names:
             df = df.where(F.col(column) == F.col(names[part[1:]]))
         else:
@@ -191,7 +200,7 @@ def pattern(triples: DataFrame, s: str, p: str, o: str) -> Solutions:
     return Solutions(df.select(*[F.col(c).alias(v) for v, c in names.items()]) if names else df.select(F.lit(True).alias("__match")).limit(1))
 
 
-def match(triples: DataFrame, *patterns: tuple[str, str, str]) -> Solutions:
+def match(triples, *patterns: tuple[str, str, str]) -> Solutions:
     """Solutions of a basic graph pattern; each pattern is joined to those that share a variable with it."""
     bound = lambda t: sum(not x.startswith("?") for x in t)
     rest = sorted(patterns, key=bound, reverse=True)

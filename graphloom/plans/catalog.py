@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import names, registry, terms, units
 from graphloom.operators import closure, restrictions, routes, search, store, tables
 from graphloom.operators.lift import Lifted
-from graphloom.operators.solutions import Solutions
+from graphloom.operators.solutions import Solutions, match
 
 X = "http://example.com"
 QUERIES: dict = {}
@@ -321,7 +321,7 @@ def q40_parse_object(spark, sf):
 
 @query(f"SELECT DISTINCT '{X}/customer/' || c_custkey AS s FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_mktsegment = 'BUILDING' AND r_name = 'ASIA'")
 def q41_search(spark, sf):
-    g = Lifted(spark, sf).graph("customer", "nation", "region")
+    g = Lifted(spark, sf).view("customer", "nation", "region")
     path = {"c_nationkey": f"{X}/customer#c_nationkey", "n_regionkey": f"{X}/nation#n_regionkey", "r_name": f"{X}/region#r_name", "segment": f"{X}/customer#c_mktsegment"}
     return search.search(g, f"{X}/customer", {"segment": "BUILDING", "c_nationkey.n_regionkey.r_name": "ASIA"}, name=path.__getitem__)
 
@@ -409,8 +409,8 @@ def q52_delete_reachable(spark, sf):
 
 @query("SELECT DISTINCT r_name AS region FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 9500")
 def q53_basic_graph_pattern(spark, sf):
-    g = store.TripleStore(spark, Lifted(spark, sf).graph("supplier", "nation", "region"))
-    out = g.match(("?s", f"{X}/supplier#s_acctbal", "?b"), ("?s", f"{X}/supplier#s_nationkey", "?n"), ("?n", f"{X}/nation#n_regionkey", "?r"), ("?r", f"{X}/region#r_name", "?region"))
+    g = Lifted(spark, sf).view("supplier", "nation", "region")
+    out = match(g, ("?s", f"{X}/supplier#s_acctbal", "?b"), ("?s", f"{X}/supplier#s_nationkey", "?n"), ("?n", f"{X}/nation#n_regionkey", "?r"), ("?r", f"{X}/region#r_name", "?region"))
     return out.filter(terms.number(F.col("b")) > 9500).project("region").distinct().select().select(text("region"))
 
 
