@@ -76,6 +76,41 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        k AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS seq FROM w, UNNEST(range(1, len(words) - 48)) AS t(i) WHERE len(words) >= 50),
+        f AS (SELECT seq, min(doc_id) AS first FROM k GROUP BY seq),
+        gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT doc_id, i FROM k JOIN f USING (seq) WHERE doc_id > first), UNNEST(range(0, 50)) AS t(j)),
+        p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+        r AS (SELECT doc_id, count(*) AS n_words, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE gone.pos IS NULL) AS kept
+              FROM p LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN r USING (doc_id)""",
+    "op3_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split(translate(lower(coalesce(text, '')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || PUNCTUATION, '     '), ' '), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(string_split(translate(lower(coalesce(text, '')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || PUNCTUATION, '     '), ' '), lambda x: x <> '') AS v FROM benchmark),
+        ds AS (SELECT doc_id, p, coalesce(w[p], '') AS w0, coalesce(w[p + 1], '') AS w1, coalesce(w[p + 2], '') AS w2, coalesce(w[p + 3], '') AS w3, coalesce(w[p + 4], '') AS w4
+               FROM d, UNNEST(range(1, greatest(len(w), 5) - 3)) AS t(p) WHERE len(w) > 0),
+        bs AS (SELECT item_id, q, coalesce(v[q], '') AS w0, coalesce(v[q + 1], '') AS w1, coalesce(v[q + 2], '') AS w2, coalesce(v[q + 3], '') AS w3, coalesce(v[q + 4], '') AS w4
+               FROM b, UNNEST(range(1, greatest(len(v), 5) - 3)) AS t(q) WHERE len(v) > 0),
+        g AS (SELECT doc_id, item_id, p - q AS start FROM ds JOIN bs USING (w0, w1, w3, w4) UNION SELECT doc_id, item_id, p - q FROM ds JOIN bs USING (w0, w2, w3, w4)),
+        a AS (SELECT doc_id, item_id, start, i, len(v) AS n_words, CASE WHEN i + start >= 1 AND w[i + start] = v[i] THEN 1 ELSE 0 END AS agree
+              FROM g JOIN d USING (doc_id) JOIN b USING (item_id), UNNEST(range(1, len(v) + 1)) AS t(i)),
+        s AS (SELECT doc_id, item_id, start, n_words, i, least(n_words, 13) AS width, sum(agree) OVER (PARTITION BY doc_id, item_id, start ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS hits FROM a),
+        best AS (SELECT doc_id, item_id, start, n_words, max(CAST(hits AS DOUBLE) / width) AS score FROM s WHERE i >= width GROUP BY ALL)
+        SELECT doc_id, item_id, start, n_words, score FROM best WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, start) = 1""".replace(
+        "PUNCTUATION", "'" + decontamination.PUNCTUATION.replace("'", "''") + "'"
+    ),
+    "op10_minhash_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        sh AS (SELECT DISTINCT doc_id, CASE WHEN len(words) = 1 THEN words[1] ELSE words[i] || ' ' || words[i + 1] END AS s FROM w, UNNEST(range(1, greatest(len(words), 2))) AS t(i) WHERE len(words) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        e AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        r AS (SELECT x AS doc_id, x AS node FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.node),
+        c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op4_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
