@@ -24,12 +24,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from graphloom.llm.shared import text_or_empty
+from graphloom.llm.shared import text_or_empty, worker_state
 
 #: A worker forgets its encoded chunks beyond so many (they are only a cache).
 MEMO_CHUNKS = 700_000
-#: Characters of text handled at once.
-BATCH_CHARS = 4_000_000
+#: Characters of text handled at once; operators take up to some 100 bytes of memory for each.
+BATCH_CHARS = 1_000_000
 #: Words of more bytes are walked one by one instead of in lockstep.
 LOCKSTEP_BYTES = 64
 
@@ -432,19 +432,18 @@ class Codec:
         return [data[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-@functools.lru_cache(2)
 def codec(path: str) -> Codec:
     """The worker's codec, kept between tasks."""
-    return Codec(path)
+    return worker_state(("bpe", path), lambda: Codec(path))
 
 
-def pieces(batch: pa.RecordBatch, text: int = 1, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with some ``chars`` characters of text each."""
+def pieces(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with some BATCH_CHARS of text each."""
     sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         total += n + 8
-        if total >= chars:
+        if total >= BATCH_CHARS:
             yield batch.slice(start, i + 1 - start)
             start, total = i + 1, 0
     if start < batch.num_rows:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,5 +41,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: list = []
+
+
+def worker_state(key, make):
+    """What a Python worker keeps between tasks: one thing at a time, so caches of different operators don't add up."""
+    if not _HELD or _HELD[0] != key:
+        _HELD.clear()
+        gc.collect()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -11,7 +11,6 @@ whole; repeated rows give repeated results; columns other than ``doc_id`` and ``
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import pieces
-from graphloom.llm.shared import text_or_empty
+from graphloom.llm.shared import text_or_empty, worker_state
 
 LIMIT = 4096
 #: A worker forgets its counts beyond so many pre-tokens (they are only a cache).
@@ -85,10 +84,9 @@ class Counter:
         return np.bincount(keys // width, frequency * self.tokens[keys % width], len(texts)).astype(np.int64)
 
 
-@functools.lru_cache(2)
 def counter(path: str) -> Counter:
     """The worker's counter, kept between tasks."""
-    return Counter(path)
+    return worker_state(("pieces", path), lambda: Counter(path))
 
 
 def counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
