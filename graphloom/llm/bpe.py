@@ -28,6 +28,8 @@ from graphloom.llm.shared import text_or_empty, worker_state
 
 #: A worker forgets its encoded chunks beyond so many (they are only a cache).
 MEMO_CHUNKS = 700_000
+#: The same where digests are made beside the encoding, which take memory of their own.
+LEAN_CHUNKS = 300_000
 #: Characters of text handled at once; operators take up to some 100 bytes of memory for each.
 BATCH_CHARS = 1_000_000
 #: Words of more bytes are walked one by one instead of in lockstep.
@@ -323,8 +325,8 @@ class Vocabulary:
 class Codec:
     """Encodes and decodes texts; remembers the ids of chunks of text between blanks."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, memo_chunks: int | None = None):
+        self.vocabulary, self.memo_chunks = Vocabulary(path), memo_chunks or MEMO_CHUNKS
         self.any_special = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")") if self.vocabulary.special else None
         self._forget()
 
@@ -395,7 +397,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (int32) and the number of ids of each text."""
-        if len(self.memo) > MEMO_CHUNKS:
+        if len(self.memo) > self.memo_chunks:
             self._forget()
         split = [self._split(t) if t else [] for t in texts]
         memo = self.memo
@@ -432,9 +434,9 @@ class Codec:
         return [data[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, memo_chunks: int | None = None) -> Codec:
     """The worker's codec, kept between tasks."""
-    return worker_state(("bpe", path), lambda: Codec(path))
+    return worker_state(("bpe", path, memo_chunks), lambda: Codec(path, memo_chunks))
 
 
 def pieces(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
@@ -452,7 +454,7 @@ def pieces(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
 
 def _map(docs: DataFrame, path: str, schema: str, make) -> DataFrame:
     def run(batches):
-        own = codec(path)
+        own = codec(path, LEAN_CHUNKS)
         for batch in batches:
             for piece in pieces(batch):
                 yield make(own, piece)

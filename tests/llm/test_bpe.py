@@ -53,11 +53,11 @@ def test_random_words_and_every_pair_check(library):
     assert own.compatible(a, b).tolist() == want
 
 
-def test_memo_bound_changes_nothing(monkeypatch):
+def test_memo_bound_changes_nothing():
     own = bpe.Codec(BYTE_BPE)
     texts = [f"some words {i} and more {i * i}" for i in range(200)]
     whole = own.encode(texts)[0].tolist()
-    monkeypatch.setattr(bpe, "MEMO_CHUNKS", 10)
+    own = bpe.Codec(BYTE_BPE, 10)
     assert [x for t in texts for x in own.encode([t])[0].tolist()] == whole
 
 
