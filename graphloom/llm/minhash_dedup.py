@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from graphloom.llm.bpe import pieces
 from graphloom.llm.components import connected
 from graphloom.llm.shared import materialise, text_or_empty
-from graphloom.llm.substring_dedup import BATCH_CHARS, mix, word_hashes
+from graphloom.llm.substring_dedup import mix, word_hashes
 
 TREES, DEPTH = 40, 5
 #: Signature values that are compared, and the share of equal ones below which a pair is unlike. With 0.8
 #: of 200 values expected to agree, 0.62 lies more than six standard deviations below.
 LOOSE = 0.62
 BLOCK = 4000
+#: At most so many cluster members (some 40 bytes each) are broadcast to pick texts; more are joined by shuffle.
+BROADCAST_MEMBERS = 1_000_000
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 _ODD = _RNG.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -80,7 +82,7 @@ def _sketch(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, 1, BATCH_CHARS):
+            for piece in pieces(batch):
                 n = piece.num_rows
                 row, value = shingles(piece.column(1), words)
                 sizes = np.bincount(row, minlength=n)
@@ -231,7 +233,10 @@ def components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     clusters = connected(near.mapInArrow(_coarse, LINKS))
     clusters = materialise(clusters, "clusters")
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    dealt = _grouped(clusters.withColumnRenamed("node", "doc_id"), "component", sizes)
+    dealt = materialise(_grouped(clusters.withColumnRenamed("node", "doc_id"), "component", sizes), "dealt")
+    if dealt.count() <= BROADCAST_MEMBERS:
+        # few documents have a near copy: their texts are picked in the scan, and the others stay where they are
+        dealt = F.broadcast(dealt)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     texts = dealt.join(texts, "doc_id").select("component", "part", "doc_id", "text").repartition("component", "part").sortWithinPartitions("component", "part", "doc_id")
     exact = connected(texts.mapInArrow(_exact(words, percent), LINKS))

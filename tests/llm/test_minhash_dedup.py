@@ -64,6 +64,7 @@ def test_documents(documents):
 
 def test_large_groups_are_dealt_to_blocks(docs_of, monkeypatch):
     monkeypatch.setattr(md, "BLOCK", 3)
+    monkeypatch.setattr(md, "BROADCAST_MEMBERS", -1)
     own = texts()
     assert result(docs_of(own)) == brute(list(enumerate(own)))
 
