@@ -36,8 +36,8 @@ GRAM = 10
 #: At most so many shared anchors (8 bytes each) or documents with removals are broadcast; more are joined by shuffle.
 BROADCAST_ANCHORS = 2_000_000
 BROADCAST_DOCUMENTS = 500_000
-#: Characters of text handled at once; the hashes take some 50 bytes for each.
-BATCH_CHARS = 1_000_000
+#: Windows of an anchor that occurs more often are dealt to several tasks, this many to each.
+HOT = 2000
 #: Runs that trigger compaction.
 MAX_RUNS = 6
 
@@ -150,55 +150,68 @@ def anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, 1, BATCH_CHARS):
+            for piece in pieces(batch):
                 row, anchor = Windows(piece.column(1)).anchors()
                 yield pa.record_batch([pa.array(anchor.view(np.int64)), piece.column(0).take(pa.array(row))], ["anchor", "doc_id"])
 
     return _texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "anchor long, doc_id long")
 
 
-WINDOWS = "one long, two int, doc_id long, version int, start int"
+WINDOWS = "one long, two int, salt int, doc_id long, version int, start int"
 
 
-def _window_batch(piece: pa.RecordBatch, w: Windows, some: np.ndarray) -> pa.RecordBatch:
+def _window_batch(piece: pa.RecordBatch, w: Windows, some: np.ndarray, salts: np.ndarray) -> pa.RecordBatch:
+    """Rows of some windows. ``salts``: into how many parts each one's anchor is cut; -1 marks the uncut."""
     one, two = w.fingerprints(some)
     versions = np.array([zlib.crc32(t.encode()) for t in piece.column(1).to_pylist()], np.uint32).view(np.int32)
     row = w.row[some]
+    salt = np.where(salts > 1, (w.hashes[(w.at - w.start)[some]] ^ versions[row].astype(np.uint64)) % np.maximum(salts, 1).astype(np.uint64), 0).astype(np.int32) - (salts <= 1)
     return pa.record_batch(
-        [pa.array(one), pa.array(two), piece.column(0).take(pa.array(row)), pa.array(versions[row]), pa.array(w.start[some].astype(np.int32))],
-        ["one", "two", "doc_id", "version", "start"],
+        [pa.array(one), pa.array(two), pa.array(salt.astype(np.int32)), piece.column(0).take(pa.array(row)), pa.array(versions[row]), pa.array(w.start[some].astype(np.int32))],
+        ["one", "two", "salt", "doc_id", "version", "start"],
     )
 
 
 def shared_windows(docs: DataFrame, shared: DataFrame, places: DataFrame) -> DataFrame:
-    """Fingerprints of all windows whose anchor is in ``shared`` (column anchor).
+    """Fingerprints of all windows whose anchor is in ``shared`` (columns anchor and n, its occurrences).
 
     ``places`` (anchor, doc_id) tells which documents have which anchors; it is used only when
     there are too many shared anchors to broadcast.
     """
     texts = _texts(docs).where("doc_id IS NOT NULL")
+    shared = shared.select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
     if shared.count() <= BROADCAST_ANCHORS:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy()))
+        table = shared.toArrow()
+        order = np.argsort(table.column(0).to_numpy())
+        known = docs.sparkSession.sparkContext.broadcast((table.column(0).to_numpy()[order], table.column(1).to_numpy()[order]))
 
         def run(batches):
-            own = known.value
+            own, salts = known.value
             for batch in batches:
-                for piece in pieces(batch, 1, BATCH_CHARS):
+                for piece in pieces(batch):
                     w = Windows(piece.column(1))
-                    found = np.minimum(np.searchsorted(own, w.anchor.view(np.int64)), max(0, len(own) - 1))
-                    some = np.flatnonzero(own[found] == w.anchor.view(np.int64)) if len(own) else np.zeros(0, np.int64)
-                    yield _window_batch(piece, w, some)
+                    if not len(own):
+                        continue
+                    found = np.minimum(np.searchsorted(own, w.anchor.view(np.int64)), len(own) - 1)
+                    some = np.flatnonzero(own[found] == w.anchor.view(np.int64))
+                    yield _window_batch(piece, w, some, salts[found[some]])
 
         return texts.mapInArrow(run, WINDOWS)
 
     def run_joined(batches):
         for batch in batches:
-            for piece in pieces(batch, 1, BATCH_CHARS):
+            for piece in pieces(batch):
                 w = Windows(piece.column(1))
-                some = [np.flatnonzero((w.row == k) & np.isin(w.anchor.view(np.int64), a)) for k, a in enumerate(piece.column(2).to_pylist())]
-                yield _window_batch(piece, w, np.concatenate(some))
-
-    by_doc = places.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+                anchor, some, salts = w.anchor.view(np.int64), [], []
+                for k, found in enumerate(piece.column(2).to_pylist()):
+                    cut = {x["anchor"]: x["salts"] for x in found}
+                    own = np.flatnonzero(w.row == k)
+                    own = own[np.isin(anchor[own], list(cut))]
+                    some.append(own)
+                    salts.append(np.array([cut[x] for x in anchor[own].tolist()], np.int64))
+                yield _window_batch(piece, w, np.concatenate(some), np.concatenate(salts))
+
+    by_doc = places.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "salts")).alias("anchors"))
     return texts.join(by_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(run_joined, WINDOWS)
 
 
@@ -207,7 +220,8 @@ def _by_window(windows: DataFrame) -> DataFrame:
     spark = windows.sparkSession
     n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, "windows")
     name = "windows_" + path[-12:]
-    windows.repartition(n, "one", "two").write.format("parquet").option("path", path).bucketBy(n, "one", "two").sortBy("one", "two").saveAsTable(name)
+    key = ("one", "two", "salt")
+    windows.repartition(n, *key).write.format("parquet").option("path", path).bucketBy(n, *key).sortBy(*key).saveAsTable(name)
     return spark.table(name)
 
 
@@ -257,14 +271,14 @@ class FingerprintIndex:
         return run
 
     def shared(self, run: str) -> DataFrame:
-        """Anchors of ``run`` that some other document has too, there or in an earlier run."""
-        bounds = lambda r: self.read(r).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        """Anchors of ``run`` that some other document has too, there or in an earlier run, with their occurrences (n)."""
+        bounds = lambda r: self.read(r).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
         out = bounds(run)
         for other in self.runs():
             if other < run:
-                old = bounds(other).select("anchor", F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"))
-                out = out.join(old.hint("merge"), "anchor", "left").select("anchor", F.least("lo", "old_lo").alias("lo"), F.greatest("hi", "old_hi").alias("hi"))
-        return out.where("lo < hi").select("anchor")
+                old = bounds(other).select("anchor", F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"), F.col("n").alias("old_n"))
+                out = out.join(old.hint("merge"), "anchor", "left").select("anchor", F.least("lo", "old_lo").alias("lo"), F.greatest("hi", "old_hi").alias("hi"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("n"))
+        return out.where("lo < hi").select("anchor", "n")
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -297,8 +311,14 @@ def duplicates(batch: DataFrame, index: FingerprintIndex, history: DataFrame | N
                 old = old.unionByName(index.read(other))
         windows = windows.unionByName(shared_windows(history, shared, old).withColumn("fresh", F.lit(False)))
     windows = _by_window(windows)
-    first = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    found = windows.where("fresh").join(first, ["one", "two"]).where("doc_id > least")
+    first = windows.groupBy("one", "two", "salt").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    # windows of common anchors are cut into parts: their bounds meet in a second, small aggregation, and the
+    # join back runs on shuffles that adaptive execution can split
+    cut = first.where("salt >= 0").groupBy("one", "two").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
+    whole = first.where("salt < 0 AND least < most")
+    fresh = windows.where("fresh")
+    found = fresh.where("salt < 0").join(whole.drop("most"), ["one", "two", "salt"]).select("doc_id", "version", "start", "least")
+    found = found.unionByName(fresh.where("salt >= 0").join(cut.drop("most"), ["one", "two"]).select("doc_id", "version", "start", "least")).where("doc_id > least")
     found = found.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"))
     if len(index.runs()) >= MAX_RUNS:
         index.compact()
@@ -312,7 +332,7 @@ def removals(batch: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for piece in pieces(b, 1, BATCH_CHARS):
+            for piece in pieces(b):
                 n_words, n_removed, kept = [], [], []
                 for text, starts in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
                     words = _WORD.findall(text)

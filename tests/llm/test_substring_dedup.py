@@ -60,7 +60,15 @@ def test_report_matches_brute_force(spark, docs_of, batches):
     assert result(docs_of(own, ids), sd.FingerprintIndex(spark, scratch(spark, "f"), 4), batches) == sorted(brute(rows), key=repr)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_common_anchors_are_dealt_to_parts(spark, docs_of, monkeypatch, hot):
+    monkeypatch.setattr(sd, "HOT", hot)
+    own = texts()
+    assert result(docs_of(own), sd.FingerprintIndex(spark, scratch(spark, "f"), 4)) == sorted(brute(list(enumerate(own))), key=repr)
+
+
 def test_shuffle_paths_and_compaction(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(sd, "HOT", 3)
     monkeypatch.setattr(sd, "BROADCAST_ANCHORS", -1)
     monkeypatch.setattr(sd, "BROADCAST_DOCUMENTS", -1)
     monkeypatch.setattr(sd, "MAX_RUNS", 2)
