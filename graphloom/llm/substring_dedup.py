@@ -2,7 +2,7 @@
 
 Every window of ``WINDOW`` consecutive words has an anchor: the least hash of the ``GRAM``-word
 sequences in it. Equal windows have equal anchors, and a document has few, so the index keeps anchors
-only: immutable runs of (anchor, doc_id), bucketed and sorted by anchor. A batch becomes a run of
+only: immutable runs of (anchor, doc_id, windows), bucketed and sorted by anchor. A batch becomes a run of
 its own, is merge-joined with the runs of history bucket by bucket (no shuffle), and only windows
 whose anchor another document has too are fingerprinted in full (96 bits), in the batch and in the
 historical documents that share the anchor. A fingerprint's least doc_id then verifies every window.
@@ -33,10 +33,12 @@ from graphloom.llm.shared import materialise, scratch, text_or_empty
 
 WINDOW = 50
 GRAM = 10
-#: At most so many shared anchors (8 bytes each) or documents with removals are broadcast; more are joined by shuffle.
+#: At most so many shared anchors (12 bytes each), documents with removals (some 50 bytes each) and window
+#: starts (4 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ANCHORS = 2_000_000
 BROADCAST_DOCUMENTS = 500_000
-#: Windows of an anchor that occurs more often are dealt to several tasks, this many to each.
+BROADCAST_STARTS = 20_000_000
+#: Windows of an anchor that has more of them are dealt to several tasks, this many to each.
 HOT = 2000
 #: Runs that trigger compaction.
 MAX_RUNS = 6
@@ -127,12 +129,12 @@ class Windows:
         else:
             self.anchor = np.zeros(0, np.uint64)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row, anchor), with runs of the same anchor in a row reduced to one."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, anchor, number of windows), with runs of the same anchor in a row reduced to one."""
         if not len(self.row):
-            return self.row, self.anchor
-        new = np.concatenate([[True], (self.row[1:] != self.row[:-1]) | (self.anchor[1:] != self.anchor[:-1])])
-        return self.row[new], self.anchor[new]
+            return self.row, self.anchor, self.row
+        new = np.flatnonzero(np.concatenate([[True], (self.row[1:] != self.row[:-1]) | (self.anchor[1:] != self.anchor[:-1])]))
+        return self.row[new], self.anchor[new], np.diff(np.append(new, len(self.row)))
 
     def fingerprints(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.at[some]
@@ -146,26 +148,31 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """anchor and doc_id of every document that has an id."""
+    """anchor, doc_id and windows (how many in a row have the anchor) of every document that has an id."""
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch):
-                row, anchor = Windows(piece.column(1)).anchors()
-                yield pa.record_batch([pa.array(anchor.view(np.int64)), piece.column(0).take(pa.array(row))], ["anchor", "doc_id"])
+                row, anchor, n = Windows(piece.column(1)).anchors()
+                yield pa.record_batch([pa.array(anchor.view(np.int64)), piece.column(0).take(pa.array(row)), pa.array(n.astype(np.int32))], ["anchor", "doc_id", "windows"])
 
-    return _texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "anchor long, doc_id long")
+    return _texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "anchor long, doc_id long, windows int")
 
 
 WINDOWS = "one long, two int, salt int, doc_id long, version int, start int"
 
 
 def _window_batch(piece: pa.RecordBatch, w: Windows, some: np.ndarray, salts: np.ndarray) -> pa.RecordBatch:
-    """Rows of some windows. ``salts``: into how many parts each one's anchor is cut; -1 marks the uncut."""
+    """Rows of some windows. ``salts``: into how many parts each one's anchor is cut; -1 marks the uncut.
+
+    Parts go by document and start, so copies of a text and repeats within one are spread alike.
+    """
     one, two = w.fingerprints(some)
     versions = np.array([zlib.crc32(t.encode()) for t in piece.column(1).to_pylist()], np.uint32).view(np.int32)
     row = w.row[some]
-    salt = np.where(salts > 1, (w.hashes[(w.at - w.start)[some]] ^ versions[row].astype(np.uint64)) % np.maximum(salts, 1).astype(np.uint64), 0).astype(np.int32) - (salts <= 1)
+    ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    place = mix(ids[row] * np.uint64(_ODD) + w.start[some].astype(np.uint64))
+    salt = np.where(salts > 1, (place % np.maximum(salts, 1).astype(np.uint64)).astype(np.int64), -1)
     return pa.record_batch(
         [pa.array(one), pa.array(two), pa.array(salt.astype(np.int32)), piece.column(0).take(pa.array(row)), pa.array(versions[row]), pa.array(w.start[some].astype(np.int32))],
         ["one", "two", "salt", "doc_id", "version", "start"],
@@ -173,7 +180,7 @@ def _window_batch(piece: pa.RecordBatch, w: Windows, some: np.ndarray, salts: np
 
 
 def shared_windows(docs: DataFrame, shared: DataFrame, places: DataFrame) -> DataFrame:
-    """Fingerprints of all windows whose anchor is in ``shared`` (columns anchor and n, its occurrences).
+    """Fingerprints of all windows whose anchor is in ``shared`` (columns anchor and n, its windows).
 
     ``places`` (anchor, doc_id) tells which documents have which anchors; it is used only when
     there are too many shared anchors to broadcast.
@@ -249,7 +256,7 @@ class FingerprintIndex:
         name = re.sub(r"\W", "_", f"{self.path}/{run}")[-60:].strip("_")
         name = f"anchors_{zlib.crc32(self.path.encode()):08x}_{name}"
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, doc_id BIGINT) USING parquet"
+            f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, doc_id BIGINT, windows INT) USING parquet"
             f" CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'"
         )
         return name
@@ -271,8 +278,8 @@ class FingerprintIndex:
         return run
 
     def shared(self, run: str) -> DataFrame:
-        """Anchors of ``run`` that some other document has too, there or in an earlier run, with their occurrences (n)."""
-        bounds = lambda r: self.read(r).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+        """Anchors of ``run`` that some other document has too, there or in an earlier run, with their windows (n)."""
+        bounds = lambda r: self.read(r).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("windows").alias("n"))
         out = bounds(run)
         for other in self.runs():
             if other < run:
@@ -312,13 +319,15 @@ def duplicates(batch: DataFrame, index: FingerprintIndex, history: DataFrame | N
         windows = windows.unionByName(shared_windows(history, shared, old).withColumn("fresh", F.lit(False)))
     windows = _by_window(windows)
     first = windows.groupBy("one", "two", "salt").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    # windows of common anchors are cut into parts: their bounds meet in a second, small aggregation, and the
-    # join back runs on shuffles that adaptive execution can split
-    cut = first.where("salt >= 0").groupBy("one", "two").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
+    # windows of common anchors are cut into parts: the parts' bounds meet in a second, small aggregation and go
+    # back to every part, so the windows themselves stay in their buckets
+    parts = first.where("salt >= 0")
+    cut = parts.groupBy("one", "two").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").drop("most")
+    cut = parts.select("one", "two", "salt").join(cut, ["one", "two"])
     whole = first.where("salt < 0 AND least < most")
     fresh = windows.where("fresh")
     found = fresh.where("salt < 0").join(whole.drop("most"), ["one", "two", "salt"]).select("doc_id", "version", "start", "least")
-    found = found.unionByName(fresh.where("salt >= 0").join(cut.drop("most"), ["one", "two"]).select("doc_id", "version", "start", "least")).where("doc_id > least")
+    found = found.unionByName(fresh.where("salt >= 0").join(cut, ["one", "two", "salt"]).select("doc_id", "version", "start", "least")).where("doc_id > least")
     found = found.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"))
     if len(index.runs()) >= MAX_RUNS:
         index.compact()
@@ -328,7 +337,8 @@ def duplicates(batch: DataFrame, index: FingerprintIndex, history: DataFrame | N
 def removals(batch: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the kept text (words joined by blanks) of every row of the batch."""
     found = materialise(found, "removals").select(F.col("doc_id"), F.col("version").alias("own"), "starts")
-    small = found.count() <= BROADCAST_DOCUMENTS
+    n, starts = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
+    small = n <= BROADCAST_DOCUMENTS and starts <= BROADCAST_STARTS
 
     def run(batches):
         for b in batches:

@@ -67,6 +67,19 @@ def test_common_anchors_are_dealt_to_parts(spark, docs_of, monkeypatch, hot):
     assert result(docs_of(own), sd.FingerprintIndex(spark, scratch(spark, "f"), 4)) == sorted(brute(list(enumerate(own))), key=repr)
 
 
+def test_windows_of_one_common_sequence_spread_over_parts(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(sd, "HOT", 50)
+    own = [" ".join(["same"] * 249)] * 5 + [" ".join(f"u{i}" for i in range(80))]
+    docs = docs_of(own)
+    index = sd.FingerprintIndex(spark, scratch(spark, "f"), 4)
+    run = index.append(docs)
+    shared = index.shared(run)
+    assert [r.n for r in shared.collect()] == [5 * 200]
+    salts = [r["count"] for r in sd.shared_windows(docs, shared, index.read(run)).groupBy("salt").count().collect()]
+    assert len(salts) == 20 and sum(salts) == 1000 and max(salts) < 100
+    assert result(docs, sd.FingerprintIndex(spark, scratch(spark, "f"), 4)) == sorted(brute(list(enumerate(own))), key=repr)
+
+
 def test_shuffle_paths_and_compaction(spark, docs_of, monkeypatch):
     monkeypatch.setattr(sd, "HOT", 3)
     monkeypatch.setattr(sd, "BROADCAST_ANCHORS", -1)
