@@ -6,8 +6,8 @@ Learned transition weights tie neighbours together, and forward-backward turns b
 probabilities of every word's language. A document gets the language with the greatest mean
 posterior over its words, and that mean is its score.
 
-Learning uses a bounded sample: at most about ``TRAIN_ROWS`` rows for each language, picked by a
-hash of the text; their words carry their document's language. Prediction reads whole texts.
+Learning uses a bounded sample: at most ``TRAIN_ROWS`` texts for each language, those of the smallest
+hashes; their words carry their document's language. Prediction reads whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any row to
 learn from every text is; ties go to the alphabetically first language; words without a letter are
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import pieces
-from graphloom.llm.shared import text_or_empty, worker_state
+from graphloom.llm.shared import sample_by_hash, text_or_empty, worker_state
 
 TRAIN_ROWS = 150
 CHAIN = 256
@@ -180,16 +180,9 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def train(docs: DataFrame) -> Model | None:
     """Learn from rows with text and language that are not held out."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not totals:
-        return None
-    share = F.lit(0)
-    for lang, n in totals.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, TRAIN_ROWS / n) * 1_000_000)).otherwise(share)
-    # twice the bound leaves room for chance and still bounds what reaches the driver
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text", "lang").limit(2 * TRAIN_ROWS * len(totals)).collect()
+    sample = sample_by_hash(rows, TRAIN_ROWS, "lang").collect()
     if not sample:
-        sample = rows.select("text", "lang").limit(TRAIN_ROWS).collect()
+        return None
     sample.sort(key=lambda r: (r.lang, r.text))
     return fit([r.text for r in sample], [r.lang for r in sample])
 

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the white space that separates words in the operators' contracts.
@@ -55,3 +55,26 @@ def worker_state(key, make):
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def sample_by_hash(rows: DataFrame, k: int, by: str | None = None, seed: int = 42) -> DataFrame:
+    """The ``k`` texts with the smallest 64-bit hashes among ``rows``, of each ``by`` if that is given.
+
+    ``rows`` has columns ``text`` and ``by``. Copies count once. A group of fewer texts is taken whole; of a larger
+    one about 2k hashes lie under the threshold that its number of texts gives, however large it is.
+    """
+    keys = [by] if by else []
+    hashed = rows.select(*keys, "text", F.xxhash64("text", F.lit(seed)).alias("__h"))
+    totals = hashed.select(*keys, "__h").distinct().groupBy(*keys).count().collect()
+    limit = F.lit(None).cast("long")
+    for r in totals:
+        top = F.lit(hash_limit(k, r["count"]))
+        limit = F.when(F.col(by) == r[by], top).otherwise(limit) if by else top
+    few = hashed.where(F.col("__h") <= limit).dropDuplicates([*keys, "__h"])
+    ranked = few.withColumn("__n", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__h")))
+    return ranked.where(F.col("__n") <= k).select(*keys, "text")
+
+
+def hash_limit(k: int, n: int) -> int:
+    """The signed 64-bit value up to which about 2k of n hashes lie; all of them if there are no more."""
+    return 2**63 - 1 if n <= 2 * k else -(2**63) + (2 * k << 64) // n

@@ -66,3 +66,19 @@ def test_keep_passes_columns(docs_of):
     df = docs_of(["some words of text", None, "123", "more words"])
     out = language.keep(df)
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {0, 3}
+
+
+def test_sample_holds_every_language_at_any_size(spark):
+    from graphloom.llm import shared
+
+    for n in (301, 150_000_001, 10**10, 10**15):
+        share = (shared.hash_limit(150, n) + 2**63) / 2**64
+        assert share * n == pytest.approx(300, rel=1e-3)
+    assert shared.hash_limit(150, 300) == 2**63 - 1
+    # many rows of one text and 2000 of others: copies count once, the small language is whole
+    rows = spark.range(6000).selectExpr("if(id < 4000, 'same text', concat('text ', id)) AS text", "'en' AS lang").union(spark.createDataFrame([("ein text", "de")] * 500, "text string, lang string"))
+    got = [(r.lang, r.text) for r in shared.sample_by_hash(rows, 150, "lang").collect()]
+    assert len(got) == len(set(got)) == 151 and ("de", "ein text") in got
+    hashes = sorted(r.h for r in rows.where("lang = 'en'").selectExpr("xxhash64(text, 42) AS h").distinct().collect())
+    kept = spark.createDataFrame([(t,) for x, t in got if x == "en"], "text string").selectExpr("xxhash64(text, 42) AS h").collect()
+    assert sorted(r.h for r in kept) == hashes[:150]
