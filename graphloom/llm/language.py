@@ -11,12 +11,13 @@ hashes; their words carry their document's language. Prediction reads whole text
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any row to
 learn from every text is; ties go to the alphabetically first language; words without a letter are
-passed over; chains are cut after ``CHAIN`` words; repeated rows give repeated results; a row without
+passed over; scripts without blanks are cut into short runs that count as words; chains are cut after ``CHAIN`` words; repeated rows give repeated results; a row without
 ``doc_id`` counts as not held out and is not learned from.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -32,11 +33,14 @@ from graphloom.llm.shared import sample_by_hash, text_or_empty, worker_state
 TRAIN_ROWS = 150
 CHAIN = 256
 BUCKETS = 1 << 17
-#: Characters of a word that n-grams look at; the lexicon sees the whole word.
+#: A word's n-grams are taken from overlapping slices of so many characters and both end marks.
 WIDTH = 20
 STEPS, RATE, DECAY = 20, 0.25, 1e-4
 #: A worker forgets its words' evidence beyond so many (it is only a cache).
-MEMO_WORDS = 250_000
+MEMO_WORDS, MEMO_CHARACTERS = 250_000, 5_000_000
+#: Fixed value: scripts that write no blanks between words (South-East Asian ones, kana, Chinese characters).
+UNSPACED = "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3040-\u312f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]"
+RUNS = re.compile(f"{UNSPACED}{{1,4}}|(?:(?!{UNSPACED}).)+", re.DOTALL)
 
 
 @dataclass
@@ -50,14 +54,27 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(c.isalpha() for c in word)
 
 
-def feature_ids(words: list[str]) -> np.ndarray:
-    """Hashed features of each word, one row per word; BUCKETS stands for none."""
+def words_of(text: str) -> list[str]:
+    """The words between white space; scripts without blanks are cut into runs of at most four characters."""
+    words = text.split()
+    if text.isascii() or np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).max() < 0x0E00:
+        return words
+    return [run for w in words for run in ((w,) if w.isascii() else RUNS.findall(w))]
+
+
+def feature_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of each word's slices, one row per slice, and each word's first row; BUCKETS stands for none.
+
+    Every n-gram of the word belongs to one slice only.
+    """
     lower = [w.lower() for w in words]
-    text = "".join("\x02" + w[:WIDTH].ljust(WIDTH, "\0") + "\0" for w in lower)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), WIDTH + 2).astype(np.uint64)
-    codes = codes.copy()
-    ends = np.minimum([len(w) for w in lower], WIDTH) + 1
-    codes[np.arange(len(words)), ends] = 3
+    width, step = WIDTH + 2, WIDTH - 1
+    counts = np.array([max(0, -((width - 2 - len(w)) // step)) + 1 for w in lower], np.int64)
+    first = np.cumsum(counts) - counts
+    more = np.ones(counts.sum(), bool)
+    more[first + counts - 1] = False
+    text = "".join(part.ljust(width, "\0") for w in lower for part in ((f"\x02{w}\x03",) if len(w) <= WIDTH else _slices(f"\x02{w}\x03", width, step)))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(more), width).astype(np.uint64)
     present = codes > 0
     columns = []
     hashed, whole = np.zeros_like(codes), present.copy()
@@ -69,21 +86,29 @@ def feature_ids(words: list[str]) -> np.ndarray:
         if n == 4:
             # only the affixes of three characters
             whole = whole & ((codes[:, :m] == 2) | (codes[:, n - 1 :] == 3))
-        columns.append(np.where(whole, (hashed >> np.uint64(40)) % np.uint64(BUCKETS), np.uint64(BUCKETS)))
-    lexicon = np.array([hash_word(w) for w in lower], np.uint64)[:, None]
-    return np.concatenate([*columns, lexicon], 1).astype(np.int32)
+        # the next slice begins with those that start beyond the step
+        own = whole & ~(more[:, None] & (np.arange(m) >= step))
+        columns.append(np.where(own, (hashed >> np.uint64(40)) % np.uint64(BUCKETS), np.uint64(BUCKETS)))
+    lexicon = np.full((len(more), 1), BUCKETS, np.uint64)
+    lexicon[first, 0] = [hash_word(w) for w in lower]
+    return np.concatenate([*columns, lexicon], 1).astype(np.int32), first
+
+
+def _slices(word: str, width: int, step: int):
+    """Slices that overlap by width - step; the last one has the word's end."""
+    return (word[k : k + width] for k in range(0, max(len(word) - width, 0) + step, step))
 
 
 def hash_word(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def evidence(model_weights: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def evidence(model_weights: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of the weights of each word's features; the row beyond BUCKETS is zero."""
     out = np.zeros((len(ids), model_weights.shape[1]), np.float32)
     for k in range(ids.shape[1]):
         out += model_weights[ids[:, k]]
-    return out
+    return out if len(first) == len(ids) else np.add.reduceat(out, first, axis=0)
 
 
 def _chains(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +166,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     known: dict[str, int] = {}
     words, lens = [], []
     for t in texts:
-        own = [known.setdefault(w, len(known)) for w in t.split() if has_letter(w)]
+        own = [known.setdefault(w, len(known)) for w in words_of(t) if has_letter(w)]
         words.append(np.array(own, np.int64))
         lens.append(len(own))
     lens = np.array(lens, np.int64)
@@ -151,7 +176,8 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         return Model(labels, weights, transitions)
     flat = np.concatenate(words)
     truth = np.repeat(np.array([labels.index(x) for x in langs]), lens)
-    ids = feature_ids(list(known))
+    ids, first = feature_ids(list(known))
+    slices = np.diff(np.append(first, len(ids)))
     starts, sizes = _chains(lens)
     gold = np.zeros((size, size))
     inner = np.ones(len(flat), bool)
@@ -161,12 +187,12 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     grown_w, grown_t = np.full(weights.shape, 1e-10, np.float32), np.full(transitions.shape, 1e-8)
     flat_ids = ids.ravel()
     for _ in range(STEPS):
-        scores = evidence(weights, ids)[flat]
+        scores = evidence(weights, ids, first)[flat]
         posterior, expected = forward_backward(scores, starts, sizes, transitions, pairs=True)
         posterior[np.arange(len(flat)), truth] -= 1
         for k in range(size):
             by_word = np.bincount(flat, posterior[:, k], len(known)) * share
-            g = np.bincount(flat_ids, np.repeat(by_word, ids.shape[1]), BUCKETS + 1).astype(np.float32) + DECAY * share * weights[:, k]
+            g = np.bincount(flat_ids, np.repeat(by_word, slices * ids.shape[1]), BUCKETS + 1).astype(np.float32) + DECAY * share * weights[:, k]
             g[BUCKETS] = 0
             grown_w[:, k] += g * g
             weights[:, k] -= RATE * g / np.sqrt(grown_w[:, k])
@@ -201,6 +227,7 @@ class Labeller:
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
+        self.characters = 0
         self.scores = np.zeros((1 << 12, len(self.model.labels)), np.float32)
         self.worded = np.zeros(1 << 12, bool)
 
@@ -208,17 +235,20 @@ class Labeller:
         known = len(self.memo)
         while known + len(new) > len(self.scores):
             self.scores, self.worded = np.concatenate([self.scores, self.scores]), np.concatenate([self.worded, self.worded])
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.scores[known + k : known + k + len(part)] = evidence(self.model.weights, feature_ids(part))
+        # parts of bounded length, though a word may be as long as a text
+        ends = np.cumsum([max(len(w), WIDTH) for w in new])
+        self.characters += int(ends[-1])
+        cuts = np.flatnonzero(np.diff(ends // (20_000 * WIDTH))) + 1
+        for k, until in zip([0, *cuts], [*cuts, len(new)], strict=True):
+            self.scores[known + k : known + until] = evidence(self.model.weights, *feature_ids(new[k:until]))
         self.worded[known : known + len(new)] = [has_letter(w) for w in new]
         self.memo.update(zip(new, range(known, known + len(new)), strict=True))
 
     def posteriors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Posteriors of all words with a letter, and their number in each text."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS or self.characters > MEMO_WORDS * WIDTH + MEMO_CHARACTERS:
             self.forget()
-        split = [t.split() for t in texts]
+        split = [words_of(t) for t in texts]
         memo = self.memo
         new = {w for row in split for w in row if w not in memo}
         if new:

@@ -82,3 +82,32 @@ def test_sample_holds_every_language_at_any_size(spark):
     hashes = sorted(r.h for r in rows.where("lang = 'en'").selectExpr("xxhash64(text, 42) AS h").distinct().collect())
     kept = spark.createDataFrame([(t,) for x, t in got if x == "en"], "text string").selectExpr("xxhash64(text, 42) AS h").collect()
     assert sorted(r.h for r in kept) == hashes[:150]
+
+
+def test_ngrams_cover_whole_words():
+    def ngrams(word):
+        whole, out = "\x02" + word + "\x03", []
+        for n in range(1, 5):
+            out += [whole[i : i + n] for i in range(len(whole) - n + 1) if n < 4 or i == 0 or i + n == len(whole)]
+        return out
+
+    def hashed(gram):
+        h = 0
+        for i, c in enumerate(gram):
+            h = ((h * 0x9E3779B97F4A7C15 + ord(c)) * 0xD6E8FEB86659FD93) % 2**64
+        return (h >> 40) % language.BUCKETS
+
+    words = ["a", "b" * 20, "c" * 21, "".join(chr(97 + i % 26) for i in range(39)), "".join(chr(97 + i * 7 % 26) for i in range(40)), "é" * 400]
+    ids, first = language.feature_ids(words)
+    for w, a, b in zip(words, first, [*first[1:], len(ids)]):
+        got = sorted(x for x in ids[a:b].ravel().tolist() if x != language.BUCKETS)
+        assert got == sorted([*map(hashed, ngrams(w)), language.hash_word(w)])
+
+
+def test_texts_without_blanks_are_read_to_their_end(model):
+    own = language.Labeller(model)
+    german = "derhundunddiekatzevondemhaus" * 20
+    assert own.label(["thecatandthedogofthis" + german])[0] == ["de"]
+    assert language.words_of("今日は良い天気 and สวัสดีชาว") == ["今日は良", "い天気", "and", "สวัส", "ดีชา", "ว"]
+    cjk = language.fit(["今日は良い天気ですね", "我们今天去北京看朋友"] * 5, ["ja", "zh"] * 5)
+    assert language.Labeller(cjk).label(["今日は良い" + "我们今天去北京看朋友" * 9])[0] == ["zh"]
