@@ -27,12 +27,15 @@ FLOATS = ("double", "float", "decimal", "real", "rational")
 #: Days in a year of a duration.
 YEAR_DAYS = 365.2422
 
-_LITERAL = r'(?s)^"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<?([^>]*)>?)?$'
+#: A whole literal. Possessive repetition keeps the matcher from recursing, so texts may be of any length.
+_LITERAL = r'(?s)^"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*+|\^\^<?[^>"]*+>?)?$'
+#: Escapes in literals, beside the backslash.
+_ESCAPES = (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
 
 
 def quote(lexical: Column) -> Column:
     """A quoted and escaped lexical form."""
-    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for raw, escaped in (("\\", "\\\\"), *_ESCAPES):
         lexical = F.replace(lexical, F.lit(raw), F.lit(escaped))
     return F.concat(F.lit('"'), lexical, F.lit('"'))
 
@@ -77,25 +80,33 @@ def is_iri(term: Column) -> Column:
     return ~is_literal(term) & ~is_blank(term)
 
 
+def _suffix(term: Column) -> Column:
+    """What follows a literal's last quotation mark; neither tags nor datatypes have one."""
+    return F.substring_index(term, '"', -1)
+
+
 def lexical(term: Column) -> Column:
     """The lexical form of a literal, the string of any other term."""
-    body = F.regexp_extract(term, _LITERAL, 1)
-    # escapes are taken back in one sweep each, with a stand-in for the backslash
-    plain = F.replace(body, F.lit("\\\\"), F.lit("\x00"))
-    for raw, escaped in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        plain = F.replace(plain, F.lit(escaped), F.lit(raw))
-    plain = F.replace(plain, F.lit("\x00"), F.lit("\\"))
-    return F.when(is_literal(term), F.when(body.contains("\\"), plain).otherwise(body)).otherwise(term)
+    body = F.substr(term, F.lit(2), F.greatest(F.length(term) - F.length(_suffix(term)) - 2, F.lit(0)))
+
+    def plain(part: Column) -> Column:
+        for raw, escaped in _ESCAPES:
+            part = F.replace(part, F.lit(escaped), F.lit(raw))
+        return part
+
+    # between doubled backslashes every backslash starts an escape
+    unescaped = F.array_join(F.transform(F.split(body, r"\\\\"), plain), "\\")
+    return F.when(is_literal(term), F.when(body.contains("\\"), unescaped).otherwise(body)).otherwise(term)
 
 
 def language(term: Column) -> Column:
     """Language tag of a literal in lower case, or NULL."""
-    return F.when(is_literal(term), F.nullif(F.lower(F.regexp_extract(term, _LITERAL, 2)), F.lit("")))
+    return F.when(is_literal(term), F.nullif(F.lower(F.regexp_extract(_suffix(term), "^@([A-Za-z]+(?:-[A-Za-z0-9]+)*)$", 1)), F.lit("")))
 
 
 def datatype(term: Column) -> Column:
     """Datatype IRI of a literal, or NULL where it has none."""
-    return F.when(is_literal(term), F.nullif(F.regexp_extract(term, _LITERAL, 3), F.lit("")))
+    return F.when(is_literal(term), F.nullif(F.regexp_extract(_suffix(term), r"^\^\^<?([^>]*)>?$", 1), F.lit("")))
 
 
 def _of(term: Column, names) -> Column:

@@ -2,8 +2,10 @@
 
 A node is derived by mapping, instance or subclass steps from one other node, or by a function from
 all of its inputs together. Costs add up. The search is a fixed point over DataFrames: every round
-joins the routes known so far with the steps they can feed and keeps, for each node, the ``k``
-cheapest; it ends when no list changes. Only nodes behind the targets take part.
+joins the routes known so far with the steps they can feed; it ends when no list changes. A route is
+dropped only if ``k`` cheaper ones of its node pass no other nodes than it does, since each of those can
+then stand in for it wherever it could be used; so the ``k`` cheapest routes of a target are never lost.
+Only nodes behind the targets take part.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def functions_of(triples: DataFrame, has_input: str = PREFIXES["emmo"] + "hasInp
     return outs.join(ins, "function").join(cost, "function", "left").select("function", "inputs", "output", "cost")
 
 
-def cheapest(steps_: DataFrame, sources: DataFrame, targets: DataFrame, k: int = 5, max_rounds: int = 100) -> DataFrame:
+def cheapest(steps_: DataFrame, sources: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
     """target, rank, cost and route of the ``k`` cheapest routes to each target.
 
     ``sources`` has node and cost (the cost of its value), ``targets`` node. ``route`` lists steps from
@@ -68,7 +70,7 @@ def cheapest(steps_: DataFrame, sources: DataFrame, targets: DataFrame, k: int =
     base = sources.select("node", F.coalesce("cost", F.lit(0.0)).alias("cost"), F.array(F.concat_ws(" ", F.lit("value"), "node")).alias("route"), F.array("node").alias("nodes"))
     best = written(base, "routes")
     before = None
-    for _ in range(max_rounds):
+    while True:
         grown = None
         partial = own.where("position = 0").join(best.withColumnsRenamed({"cost": "c", "node": "input"}), "input").where(~F.array_contains("nodes", F.col("output")))
         partial = partial.select("output", "step", (F.col("cost") + F.col("c")).alias("cost"), F.concat(F.array("step"), "route").alias("route"), F.array_union(F.array("output"), F.col("nodes")).alias("nodes"))
@@ -86,11 +88,15 @@ def cheapest(steps_: DataFrame, sources: DataFrame, targets: DataFrame, k: int =
             break
         before = now
     ranked = best.join(targets.select("node").distinct(), "node").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("cost", "route")))
-    return ranked.select(F.col("node").alias("target"), "rank", "cost", "route")
+    return ranked.where(F.col("rank") <= k).select(F.col("node").alias("target"), "rank", "cost", "route")
 
 
 def _top(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("cost", "route"))).where(F.col("__n") <= k).drop("__n")
+    """Rows (cost, route, nodes) without those that ``k`` cheaper ones of their key make needless."""
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cost", "route", "nodes"))).alias("all"))
+    within = lambda y, x: F.size(F.array_except(y["nodes"], x["nodes"])) == 0
+    keep = lambda acc, x: F.when(F.size(F.filter(acc, lambda y: within(y, x))) < k, F.concat(acc, F.array(x))).otherwise(acc)
+    return listed.select(*keys, F.inline(F.aggregate("all", F.slice("all", 1, 0), keep)))
 
 
 def dot(route: list[str]) -> str:

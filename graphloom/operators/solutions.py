@@ -11,9 +11,7 @@ table joins on the key, and its IRI is put together at the end.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,22 +43,18 @@ class Solutions:
 
     # -- joins ---------------------------------------------------------------------------------
 
-    def _joined(self, other: Solutions, how: str, on: Column | Callable | None = None) -> Solutions:
+    def _joined(self, other: Solutions, how: str, on: Column | None = None) -> Solutions:
         a, b, both = self._aligned(other)
         loose = [v for v in both if v in a.maybe or v in b.maybe]
+        right = b.df.withColumnsRenamed({v: f"{v}__r" for v in both})
         if not loose and on is None:
-            df = a.df.join(b.df, both, how) if both else (a.df.crossJoin(b.df) if how == "inner" else a.df.join(b.df, F.lit(True), how))
+            df = a.df.join(b.df, both, how) if both else (_product(a.df, b.df) if how == "inner" else a.df.join(b.df, F.lit(True), how))
+        elif how == "inner":
+            df = _merged(_agreeing(a.df, right, both, loose), loose, both)
+        elif how == "left":
+            df = self._left(a, b, both, loose, on)
         else:
-            right = b.df.withColumnsRenamed({v: f"{v}__r" for v in both})
-            cond = F.lit(True)
-            for v in both:
-                same = F.col(v) == F.col(f"{v}__r")
-                cond = cond & ((same | F.col(v).isNull() | F.col(f"{v}__r").isNull()) if v in loose else same)
-            if on is not None:
-                cond = cond & on
-            df = a.df.join(right, cond, how)
-            if how in ("inner", "left"):
-                df = df.withColumns({v: F.coalesce(v, f"{v}__r") for v in loose}).drop(*[f"{v}__r" for v in both])
+            df = _probed(a.df, right, both, loose, how == "left_semi")
         maybe = a.maybe & b.maybe if how == "inner" else a.maybe
         if how == "inner":
             maybe |= {v for v in a.maybe | b.maybe if v not in both}
@@ -68,6 +62,21 @@ class Solutions:
             maybe |= {v for v in b.variables if v not in a.variables}
         return Solutions(df, {v: t for v, t in (a.templates | b.templates).items() if v in df.columns}, {v for v in maybe if v in df.columns})
 
+    @staticmethod
+    def _left(a: Solutions, b: Solutions, both: list[str], loose: list[str], on: Column | None) -> DataFrame:
+        right = b.df.withColumnsRenamed({v: f"{v}__r" for v in both})
+        if not loose:
+            cond = F.lit(True)
+            for v in both:
+                cond = cond & (F.col(v) == F.col(f"{v}__r"))
+            return a.df.join(right, cond if on is None else cond & on, "left").drop(*[f"{v}__r" for v in both])
+        # solutions with partners, then those without: a row's content tells which they are
+        found = _agreeing(a.df, right, both, loose)
+        found = found if on is None else found.where(on)
+        content = F.sha2(F.to_json(F.struct(*a.variables)), 256)
+        alone = a.df.withColumn("__row", content).join(found.select(content.alias("__row")), "__row", "left_anti").drop("__row")
+        return _merged(found, loose, both).unionByName(alone, allowMissingColumns=True)
+
     def join(self, other: Solutions) -> Solutions:
         """Solutions that agree on all shared variables; without any, every combination."""
         return self._joined(other, "inner")
@@ -93,11 +102,8 @@ class Solutions:
         if not any(v in a.maybe or v in b.maybe for v in both):
             return a.not_exists(Solutions(b.df.select(*both), b.templates, b.maybe))
         right = b.df.select(*[F.col(v).alias(f"{v}__r") for v in both])
-        agree, some = F.lit(True), F.lit(False)
-        for v in both:
-            bound = F.col(v).isNotNull() & F.col(f"{v}__r").isNotNull()
-            agree, some = agree & (~bound | (F.col(v) == F.col(f"{v}__r"))), some | bound
-        return a._with(a.df.join(right, agree & some, "left_anti"))
+        loose = [v for v in both if v in a.maybe or v in b.maybe]
+        return a._with(_probed(a.df, right, both, loose, False, some=True))
 
     def union(self, other: Solutions) -> Solutions:
         """Bag union; variables that one side lacks are unbound there."""
@@ -160,8 +166,11 @@ class Solutions:
         df = shown.df
         blank = any(isinstance(x, str) and x.startswith("_:") for t in template for x in t)
         if blank:
-            # a solution's blank nodes are told apart by its content, so a retried task repeats them
-            df = df.withColumn("__row", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+            # a solution's blank nodes are named by its content and its place among equal solutions, so a retried
+            # task repeats them and each solution has its own
+            content = F.sha2(F.to_json(F.struct(*df.columns)), 256)
+            df = df.withColumn("__row", content).withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0))))
+            df = df.withColumn("__row", F.concat_ws("_", "__row", F.col("__n").cast("string"))).drop("__n")
 
         def part(x) -> Column:
             if not isinstance(x, str):
@@ -175,6 +184,81 @@ class Solutions:
         return out.where(~F.col("s").startswith('"') & ~F.col("p").startswith("_:")).distinct()
 
 
+def _product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every combination of two tables, as pattern semantics ask for where nothing is shared.
+
+    The right side is copied to a fixed number of parts and each left row meets one of them, so the
+    join is an equi-join that adaptive execution broadcasts or shuffles by size.
+    """
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = a.withColumn("__part", F.pmod(F.xxhash64(*a.columns), F.lit(parts)).cast("int"))
+    right = b.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(right, "__part").drop("__part")
+
+
+def _halves(a: DataFrame, right: DataFrame, both: list[str], loose: list[str]):
+    """Parts of two sides by which of the loose variables are bound, with the variables to join on.
+
+    Each yields (left rows, right rows, variables bound on both sides). A left row is in the parts of
+    one pattern only, so a row's partners are spread over parts without overlap.
+    """
+    strict = [v for v in both if v not in loose]
+
+    def split(df: DataFrame, names: list[str]):
+        for mask in range(1 << len(loose)):
+            cond = F.lit(True)
+            for i, n in enumerate(names):
+                cond = cond & (F.col(n).isNotNull() if mask >> i & 1 else F.col(n).isNull())
+            yield mask, df.where(cond)
+
+    for m, left_rows in split(a, loose):
+        for n, right_rows in split(right, [f"{v}__r" for v in loose]):
+            yield m, left_rows, right_rows, strict + [v for i, v in enumerate(loose) if m & n & 1 << i]
+
+
+def _equal(keys: list[str]) -> Column:
+    cond = F.lit(True)
+    for v in keys:
+        cond = cond & (F.col(v) == F.col(f"{v}__r"))
+    return cond
+
+
+def _agreeing(a: DataFrame, right: DataFrame, both: list[str], loose: list[str]) -> DataFrame:
+    """Inner join where unbound agrees with anything: one equi-join for each pattern of bound variables."""
+    out = None
+    for _, left_rows, right_rows, keys in _halves(a, right, both, loose):
+        part = left_rows.join(right_rows, _equal(keys)) if keys else _product(left_rows, right_rows)
+        part = part.select(*a.columns, *right.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _merged(df: DataFrame, loose: list[str], both: list[str]) -> DataFrame:
+    return df.withColumns({v: F.coalesce(v, f"{v}__r") for v in loose}).drop(*[f"{v}__r" for v in both])
+
+
+def _probed(a: DataFrame, right: DataFrame, both: list[str], loose: list[str], keep: bool, some: bool = False) -> DataFrame:
+    """Rows with (``keep``) or without an agreeing row on the right; with ``some`` at least one variable must be bound on both sides."""
+    rest, hits = {}, None
+    for m, left_rows, right_rows, keys in _halves(a, right, both, loose):
+        left_rows = rest.get(m, left_rows)
+        if not keys and some:
+            rest[m] = left_rows
+            continue
+        probe = right_rows.select(*[f"{v}__r" for v in keys]) if keys else right_rows.select(F.lit(True)).limit(1)
+        cond = _equal(keys)
+        if keep:
+            found = left_rows.join(probe, cond, "left_semi")
+            hits = found if hits is None else hits.unionByName(found)
+        rest[m] = left_rows.join(probe, cond, "left_anti")
+    if keep:
+        return hits
+    out = None
+    for part in rest.values():
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def with_predicate(triples, p: str) -> DataFrame:
     """Triples of one predicate, from a DataFrame or a view that knows where they are."""
     return triples.where(F.col("p") == p) if isinstance(triples, DataFrame) else triples.with_predicate(p)

@@ -41,8 +41,8 @@ class TripleStore:
         return cls(spark, spark.read.parquet(path).select("s", "p", "o"), prefixes)
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
-        """Write the store, each predicate in a folder of its own."""
-        self.df.repartition("p").sortWithinPartitions("p", "s").write.mode(mode).partitionBy("p").parquet(path)
+        """Write the store, each predicate in a folder of its own; a common predicate is dealt to several tasks by subject."""
+        self.df.repartitionByRange("p", "s").sortWithinPartitions("p", "s").write.mode(mode).partitionBy("p").parquet(path)
 
     def settle(self) -> TripleStore:
         """Cut the lineage of many changes by writing the triples to the shared folder."""
@@ -141,10 +141,15 @@ class TripleStore:
     # -- changes -------------------------------------------------------------------------------
 
     def add(self, triples: DataFrame | list) -> TripleStore:
-        """Add triples; those already there stay single."""
+        """Add triples; those already there stay single.
+
+        The store is only probed with the new rows (which are broadcast if they are few), not shuffled.
+        """
         if isinstance(triples, list):
             triples = self.spark.createDataFrame([tuple(self.term(x) for x in t) for t in triples], SCHEMA)
-        self.df = self.df.unionByName(triples.select("s", "p", "o")).dropDuplicates()
+        new = triples.select("s", "p", "o").distinct()
+        known = self.df.join(new, ["s", "p", "o"], "left_semi").distinct()
+        self.df = self.df.unionByName(new.join(known, ["s", "p", "o"], "left_anti").select("s", "p", "o"))
         return self
 
     def remove(self, s=None, p=None, o=None) -> TripleStore:
@@ -186,12 +191,26 @@ class TripleStore:
     # -- lists ---------------------------------------------------------------------------------
 
     def list_items(self, heads: DataFrame | str) -> DataFrame:
-        """head, position and item of RDF lists."""
+        """head, position and item of RDF lists.
+
+        By pointer doubling: after round k a cell knows the cell 2**k further on, so a list of n cells
+        takes log n rounds, each one join of the cells with themselves. Cycles end with the number of cells.
+        """
         rdf = PREFIXES["rdf"]
         seeds = self.spark.createDataFrame([(self.term(heads),)], "source string") if isinstance(heads, str) else heads.select(F.col("s").alias("source"))
-        cells = reach(edges_of(self.df, [rdf + "rest"]), seeds, include_seeds=True)
+        ahead = self.triples(None, rdf + "rest").where(F.col("o") != rdf + "nil").select(F.col("s").alias("node"), F.col("o").alias("next")).distinct()
+        jump = written(ahead, "list-cells")
+        cells, step = jump.count(), 1
+        out = seeds.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("depth")).distinct()
+        while step == 1 or (step <= cells and not jump.isEmpty()):
+            both = F.array(F.struct("node", "depth"), F.struct(F.col("next").alias("node"), (F.col("depth") + step).alias("depth")))
+            out = out.join(jump, "node", "left").select("source", F.inline(both)).where("node IS NOT NULL")
+            jump = written(jump.join(jump.select(F.col("node").alias("next"), F.col("next").alias("far")), "next").select("node", F.col("far").alias("next")), "list-cells")
+            step *= 2
+        # a cell that a cycle reaches again keeps its first place
+        out = out.groupBy("source", "node").agg(F.min("depth").alias("depth"))
         first = self.triples(None, rdf + "first").select(F.col("s").alias("node"), F.col("o").alias("item"))
-        return cells.join(first, "node").select(F.col("source").alias("head"), F.col("depth").alias("position"), "item")
+        return out.join(first, "node").select(F.col("source").alias("head"), F.col("depth").alias("position"), "item")
 
 
 def lists(rows: DataFrame, owner: str, order: str, item: str) -> DataFrame:

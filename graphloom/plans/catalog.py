@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from graphloom.functions import names, registry, terms, units
 from graphloom.operators import closure, restrictions, routes, search, store, tables
 from graphloom.operators.lift import Lifted
+from graphloom.operators.documents import Context
 from graphloom.operators.solutions import Solutions, match
+from graphloom.sources import ntriples
 
 X = "http://example.com"
 QUERIES: dict = {}
@@ -44,10 +46,11 @@ def q01_scan_predicate(spark, sf):
     UNION ALL SELECT '{X}/customer#c_name', c_name FROM customer WHERE c_custkey = 7
     UNION ALL SELECT '{X}/customer#c_nationkey', '{X}/nation/' || c_nationkey FROM customer WHERE c_custkey = 7
     UNION ALL SELECT '{X}/customer#c_mktsegment', c_mktsegment FROM customer WHERE c_custkey = 7
+    UNION ALL SELECT '{X}/customer#c_acctbal', c_acctbal::VARCHAR FROM customer WHERE c_custkey = 7
     UNION ALL SELECT '{names.PREFIXES["rdf"]}type', '{X}/customer')""")
 def q02_scan_subject(spark, sf):
     g = store.TripleStore(spark, Lifted(spark, sf).triples("customer", key=7))
-    return g.predicate_objects(f"{X}/customer/7").where(F.col("p") != f"{X}/customer#c_acctbal").select("p", text("o"))
+    return g.predicate_objects(f"{X}/customer/7").select("p", text("o"))
 
 
 @query(f"SELECT '{X}/customer/' || c_custkey AS s, '{X}/customer#c_mktsegment' AS p FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -144,9 +147,9 @@ def q16_filter_number(spark, sf):
     return Lifted(spark, sf).rows("lineitem", order="l_orderkey->orders", quantity="l_quantity").filter("quantity > 45").select()
 
 
-@query(f"SELECT '{X}/part/' || p_partkey AS part, p_name AS name FROM part WHERE regexp_matches(p_name, '(?i)^[a-m].*[0-9]$')")
+@query(f"SELECT '{X}/part/' || p_partkey AS part, p_name AS name FROM part WHERE regexp_matches(p_name, '(?i)^[a-m].*g$')")
 def q17_filter_regex(spark, sf):
-    return Lifted(spark, sf).star("part", "part", name="p_name").filter(F.col("name").rlike("(?i)^[a-m].*[0-9]$")).select()
+    return Lifted(spark, sf).star("part", "part", name="p_name").filter(F.col("name").rlike("(?i)^[a-m].*g$")).select()
 
 
 @query(f"SELECT '{X}/customer/' || c_custkey AS customer FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
@@ -281,9 +284,13 @@ def q35_update(spark, sf):
     return g.update(where, delete=[("?s", p, "?old")], insert=[("?s", p, '"debtor"')]).df.select("s", text("o"))
 
 
-@query("SELECT s_suppkey, 's_name' AS \"column\", s_name AS value FROM supplier UNION ALL SELECT s_suppkey, 's_nationkey', s_nationkey::VARCHAR FROM supplier")
+@query(f"""SELECT '{X}/supplier/' || s_suppkey AS s, p, o FROM (SELECT s_suppkey, '{X}#title' AS p, s_name AS o FROM supplier
+    UNION ALL SELECT s_suppkey, '{X}#balance', s_acctbal::VARCHAR FROM supplier UNION ALL SELECT s_suppkey, '{X}#in', '{X}/nation/' || s_nationkey FROM supplier)""")
 def q36_unpivot(spark, sf):
-    return tables.unpivot(spark.read.parquet(f"{sf}/supplier.parquet"), "s_suppkey", ["s_name", "s_nationkey"])
+    context = Context({"title": {"iri": f"{X}#title", "type": terms.XSD + "string"}, "balance": {"iri": f"{X}#balance", "type": terms.XSD + "double"}, "in": {"iri": f"{X}#in", "type": "@id"}}, base=f"{X}/")
+    rows = spark.read.parquet(f"{sf}/supplier.parquet")
+    rows = rows.select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")), "s_name", F.col("s_acctbal").cast("string"), F.concat(F.lit(f"{X}/nation/"), F.col("s_nationkey").cast("string")))
+    return tables.to_triples(rows, ["@id", "title", "balance", "in"], context).select("s", "p", text("o"))
 
 
 @query(f"SELECT '{X}/supplier/' || s_suppkey AS s, s_name AS name, '{X}/nation/' || s_nationkey AS nation FROM supplier")
@@ -295,10 +302,10 @@ def q37_pivot(spark, sf):
 # -- terms ---------------------------------------------------------------------------------------
 
 
-@query(r"SELECT url, regexp_extract(url, '^(.*/)([^/]*)$', 1) AS space, regexp_extract(url, '^(.*/)([^/]*)$', 2) AS name FROM pages WHERE url NOT LIKE '%#%'")
+@query(r"SELECT url, CASE WHEN contains(url, '#') THEN regexp_extract(url, '^(.*#)([^#]*)$', 1) ELSE regexp_extract(url, '^(.*/)([^/]*)$', 1) END AS space, CASE WHEN contains(url, '#') THEN regexp_extract(url, '^(.*#)([^#]*)$', 2) ELSE regexp_extract(url, '^(.*/)([^/]*)$', 2) END AS name FROM pages")
 def q38_split_iri(spark, sf):
     space, name = names.split_iri(F.col("url"))
-    return spark.read.parquet(f"{sf}/pages.parquet").where("NOT contains(url, '#')").select("url", space.alias("space"), name.alias("name"))
+    return spark.read.parquet(f"{sf}/pages.parquet").select("url", space.alias("space"), name.alias("name"))
 
 
 @query(f"SELECT 'nation:' || n_nationkey AS short, '{X}/nation/' || n_nationkey AS full_iri FROM nation")
@@ -311,12 +318,10 @@ def q39_curie(spark, sf):
 _MIXED = "CASE event_id % 7 WHEN 0 THEN 'true' WHEN 1 THEN CAST(event_id AS {s}) WHEN 2 THEN '.5e3' WHEN 3 THEN 'http://a.b/c' WHEN 4 THEN '2022-12-01 12:30' WHEN 5 THEN '_:b1' ELSE 'some text' END"
 
 
-@query(f"SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'boolean' WHEN 1 THEN 'integer' WHEN 2 THEN 'double' WHEN 3 THEN 'iri' WHEN 4 THEN 'dateTime' WHEN 5 THEN 'blank' ELSE 'plain' END AS kind FROM events")
+@query(f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN '"true"^^<{terms.XSD}boolean>' WHEN 1 THEN '"' || event_id || '"^^<{terms.XSD}integer>' WHEN 2 THEN '".5e3"^^<{terms.XSD}double>'
+    WHEN 3 THEN 'http://a.b/c' WHEN 4 THEN '"2022-12-01T12:30"^^<{terms.XSD}dateTime>' WHEN 5 THEN '_:b1' ELSE '"some text"' END AS term FROM events""")
 def q40_parse_object(spark, sf):
-    t = terms.parse_object(F.expr(_MIXED.format(s="STRING")))
-    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.alias("t"))
-    kind = F.when(terms.is_blank(F.col("t")), "blank").when(terms.is_iri(F.col("t")), "iri").otherwise(F.coalesce(F.substring_index(terms.datatype(F.col("t")), "#", -1), F.lit("plain")))
-    return rows.select("event_id", kind.alias("kind"))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", terms.parse_object(F.expr(_MIXED.format(s="STRING"))).alias("term"))
 
 
 @query(f"SELECT DISTINCT '{X}/customer/' || c_custkey AS s FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_mktsegment = 'BUILDING' AND r_name = 'ASIA'")
@@ -387,11 +392,10 @@ def q49_durations(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.round(terms.parse_duration(shown)).cast("long").alias("seconds"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(s_nationkey) AS BIGINT) AS total FROM supplier")
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(p_size) AS BIGINT) AS total, CAST(max(p_size) AS DOUBLE) AS most FROM part")
 def q50_literal_values(spark, sf):
-    rows = Lifted(spark, sf).triples("supplier", ["s_acctbal"])
-    keys = spark.read.parquet(f"{sf}/supplier.parquet").select(terms.from_native(F.col("s_nationkey"), "int").alias("o"))
-    return rows.where(terms.number(F.col("o")).isNotNull()).agg(F.count(F.lit(1)).alias("n")).crossJoin(keys.agg(F.sum(terms.integer(F.col("o"))).alias("total")))
+    rows = Lifted(spark, sf).triples("part", ["p_size"]).where(terms.number(F.col("o")).isNotNull())
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(terms.integer(F.col("o"))).alias("total"), F.max(terms.number(F.col("o"))).alias("most"))
 
 
 @query(f"SELECT '{X}/supplier/' || s_suppkey AS s FROM supplier WHERE regexp_matches(s_name, '[05]$')")
@@ -414,16 +418,45 @@ def q53_basic_graph_pattern(spark, sf):
     return out.filter(terms.number(F.col("b")) > 9500).project("region").distinct().select().select(text("region"))
 
 
-@query(f"""SELECT '{X}/documents/' || d.doc_id AS doc, l.quality AS quality, x.lang AS lang FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
-    JOIN (SELECT 0 AS quality, 'low' AS lang UNION ALL SELECT 1, 'high') x ON l.quality IS NULL OR l.quality = x.quality""")
+@query(f"""SELECT '{X}/documents/' || d.doc_id AS doc, x.quality AS quality, x.grade AS grade FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+    JOIN (SELECT 0 AS quality, 'low' AS grade UNION ALL SELECT 1, 'high') x ON l.quality IS NULL OR l.quality = x.quality""")
 def q54_maybe_unbound_join(spark, sf):
     g = Lifted(spark, sf)
     left = g.star("documents", "doc").optional(g.rows("labels", doc="doc_id->documents", quality="quality"))
-    right = Solutions(spark.createDataFrame([(0, "low"), (1, "high")], "quality int, lang string"))
-    joined = left.join(right)
-    # the joined value replaces an unbound one; the query shows what the left side had
-    labels = g.rows("labels", doc="doc_id->documents", own="quality")
-    return joined.optional(labels).select("doc", "own", "lang").withColumnRenamed("own", "quality")
+    return left.join(Solutions(spark.createDataFrame([(0, "low"), (1, "high")], "quality int, grade string"))).select("doc", "quality", "grade")
+
+
+@query(f"""SELECT '{X}/documents/' || doc_id AS s, '{X}/documents#text' AS p, length(text) AS n_chars, md5(text) AS digest, '{terms.XSD}string' AS datatype, regexp_matches(text, '(?i)license') AS found FROM documents""")
+def q55_text_literals(spark, sf):
+    rows = Lifted(spark, sf).triples("documents", ["text"])
+    typed = rows.select("s", "p", F.concat("o", F.lit(f"^^<{terms.XSD}string>")).alias("o"))
+    back = ntriples.parse(ntriples.lines(typed))
+    plain = terms.lexical(F.col("o"))
+    return back.select("s", "p", F.length(plain).alias("n_chars"), F.md5(plain).alias("digest"), terms.datatype(F.col("o")).alias("datatype"), plain.rlike("(?i)license").alias("found"))
+
+
+@query(f"""SELECT '{X}/region/' || n_regionkey AS target, CAST(rank AS INTEGER) AS rank, CAST(c_custkey + 4.0 AS DOUBLE) AS cost, '{X}/customer/' || c_custkey AS source
+    FROM (SELECT n_regionkey, c_custkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) AS rank FROM customer JOIN nation ON n_nationkey = c_nationkey) WHERE rank <= 4""")
+def q56_routes_of_two_steps(spark, sf):
+    g = Lifted(spark, sf)
+    nations = g.star("nation", "s", o="n_regionkey").select("s", "o")
+    edges = g.star("customer", "s", o="c_nationkey").select("s", "o").unionByName(nations).select("s", F.lit(routes.MAPS_TO).alias("p"), "o")
+    sources = g.star("customer", "node", key="c_custkey").select("node", "key").select("node", F.col("key").cast("double").alias("cost"))
+    out = routes.cheapest(routes.steps(edges), sources, g.star("region", "node").select("node"), k=4)
+    return out.select("target", "rank", "cost", F.substring_index(F.element_at("route", -1), " ", -1).alias("source"))
+
+
+@query(f"""SELECT '{X}/nation/' || n_nationkey || '#density' AS target, CAST(10 + n_regionkey + 3 + n_nationkey AS DOUBLE) AS cost, '{X}/nation/' || n_nationkey || '#area' AS first_input FROM nation""")
+def q57_routes_by_functions(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit(f"{X}/nation/"), F.col("n_nationkey").cast("string")).alias("n"), F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("region"))
+    part = lambda x: F.concat("n", F.lit("#" + x))
+    calls = n.select(F.lit(f"{X}#divide").alias("function"), F.array(part("people"), part("area")).alias("inputs"), part("density").alias("output"), F.lit(None).cast("double").alias("cost"))
+    # the area is mapped from a survey, the number of people is a value
+    edges = n.select(part("survey").alias("s"), F.lit(routes.MAPS_TO).alias("p"), part("area").alias("o"))
+    sources = n.select(part("survey").alias("node"), (F.col("key") + 1.0).alias("cost")).unionByName(n.select(part("people").alias("node"), F.col("region").cast("double").alias("cost")))
+    out = routes.cheapest(routes.steps(edges, functions=calls), sources, n.select(part("density").alias("node")), k=1)
+    mapped = F.filter("route", lambda x: x.startswith("mapsTo "))
+    return out.select("target", "cost", F.replace(F.substring_index(mapped[0], " ", -1), F.lit("#survey"), F.lit("#area")).alias("first_input"))
 
 
 def flagship(spark, sf):

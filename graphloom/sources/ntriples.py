@@ -9,7 +9,8 @@ from graphloom.functions import terms
 
 _IRI = r"<([^<>\"{}|^`\\\x00-\x20]*)>"
 _BLANK = r"(_:[A-Za-z0-9_][A-Za-z0-9_.-]*)"
-_LITERAL = r'("(?:[^"\\\n\r]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>)?)'
+#: Possessive, so that literals of any length match without recursion.
+_LITERAL = r'("[^"\\\n\r]*+(?:\\.[^"\\\n\r]*+)*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>)?)'
 LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*(?:{_IRI}|{_BLANK}|{_LITERAL})\s*\.\s*(?:#.*)?$"
 
 
