@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from graphloom.llm.shared import text_or_empty, worker_state
+from graphloom.llm.shared import CUT, cut, text_or_empty, worker_state
 
 #: A worker forgets its encoded chunks beyond so many (they are only a cache).
 MEMO_CHUNKS = 700_000
@@ -396,7 +396,14 @@ class Codec:
         self.memo.update(zip(chunks, range(known, known + len(chunks)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids (int32) and the number of ids of each text."""
+        """Flat ids (int32) and the number of ids of each text. A very long text is encoded part by part."""
+        if max(map(len, texts), default=0) <= CUT:
+            return self._encode(texts)
+        parts = [self._encode([part]) for t in texts for part in cut(t)]
+        owner = [i for i, t in enumerate(texts) for _ in cut(t)]
+        return np.concatenate([ids for ids, _ in parts]), np.bincount(owner, [int(n[0]) for _, n in parts], len(texts)).astype(np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memo) > self.memo_chunks:
             self._forget()
         split = [self._split(t) if t else [] for t in texts]

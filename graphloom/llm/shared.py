@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +43,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Texts of more characters are encoded and counted in parts of about so many.
+CUT = 4_000_000
+_BORDER = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")
+
+
+def cut(text: str) -> Iterator[str]:
+    """Parts of a text, each but the first starting with a single blank between two characters that are not white space."""
+    start = 0
+    while len(text) - start > CUT and (found := _BORDER.search(text, start + CUT)):
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
+
+
 _HELD: list = []
 
 
@@ -78,3 +94,14 @@ def sample_by_hash(rows: DataFrame, k: int, by: str | None = None, seed: int = 4
 def hash_limit(k: int, n: int) -> int:
     """The signed 64-bit value up to which about 2k of n hashes lie; all of them if there are no more."""
     return 2**63 - 1 if n <= 2 * k else -(2**63) + (2 * k << 64) // n
+
+
+def batches_of(rows: DataFrame, n: int, by: str = "doc_id") -> list[DataFrame]:
+    """Every row in one of ``n`` batches of about equal size by ascending ids; rows without an id are in the first."""
+    cuts = sorted(set(rows.approxQuantile(by, [i / n for i in range(1, n)], 0.01))) if n > 1 else []
+    out = []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        own = F.lit(True) if low is None else F.col(by) >= F.lit(low)
+        own = own if high is None else own & (F.col(by) < F.lit(high)) if low is not None else (F.col(by).isNull() | (F.col(by) < F.lit(high)))
+        out.append(rows.where(own))
+    return out

@@ -6,7 +6,8 @@ counts are joined to every document's pre-token frequencies, and the products ar
 is shuffled: a corpus-wide join of (document, pre-token) rows would move several times the input.
 
 Defined cases: a null or empty text has no bytes and no tokens; texts of any length are counted
-whole; repeated rows give repeated results; columns other than ``doc_id`` and ``text`` are ignored.
+whole, those beyond ``CUT`` characters in parts; an empty table gives an empty result; repeated rows give
+repeated results; columns other than ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import pieces
-from graphloom.llm.shared import text_or_empty, worker_state
+from graphloom.llm.shared import CUT, cut, text_or_empty, worker_state
 
 LIMIT = 4096
 #: A worker forgets its counts beyond so many pre-tokens (they are only a cache).
 MEMO_PRETOKENS = 1_000_000
 #: Fixed value: how the vocabulary writes a blank.
 BLANK = "▁"
-_RUN = "\x01"
 
 
 class Counter:
@@ -46,21 +46,21 @@ class Counter:
         self.tokens = np.zeros(1 << 12, np.int64)
 
     def split(self, text: str) -> list[str]:
-        """Pre-tokens; the blank before each is left out, and a marked one starts with further blanks."""
+        """Pre-tokens; the blank before each is left out, and one that starts with a blank had further blanks before it."""
         text = text.replace(BLANK, " ")
         chunks = text.replace("\n", " \n").split(" ")
         if "" not in chunks and chunks[0][0] != "\n":
             return chunks
-        # the first blank of a run is the dummy prefix that the library puts before any text
-        return [(_RUN + x[1:]) if x[0] == " " else x for x in re.findall(r" *[^ \n]+| +\n?[^ \n]*|\n[^ \n]*", " " + text)]
+        # the first blank of a run is the dummy prefix that the library puts before any text; it marks the run
+        return re.findall(r" *[^ \n]+| +\n?[^ \n]*|\n[^ \n]*", " " + text)
 
     def learn(self, new: list[str]) -> None:
         # a pre-token that starts with a line feed has no blank of its own, so the prefix's piece is taken off
-        texts = [p[1:] if p[0] == _RUN else p for p in new]
+        texts = [p[1:] if p[0] == " " else p for p in new]
         counts = np.array([len(x) for x in self.model.encode(texts, num_threads=1)], np.int64)
         counts -= np.array([p[0] == "\n" for p in new], np.int64)
         # a single blank with nothing after it: the library adds no prefix to an empty text
-        counts += np.array([p == _RUN for p in new], np.int64)
+        counts += np.array([p == " " for p in new], np.int64)
         known = len(self.memo)
         while known + len(new) > len(self.tokens):
             self.tokens = np.concatenate([self.tokens, self.tokens])
@@ -68,7 +68,17 @@ class Counter:
         self.memo.update(zip(new, range(known, known + len(new)), strict=True))
 
     def count(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text."""
+        """Tokens of each text. A very long one is counted in parts, cut at single blanks, which no piece reaches across."""
+        if max(map(len, texts), default=0) <= CUT:
+            return self._count(texts)
+        out = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            # a part but the first starts with a blank, and the library puts one before any text
+            for k, part in enumerate(cut(t.replace(BLANK, " "))):
+                out[i] += self._count([part[1:] if k else part])[0]
+        return out
+
+    def _count(self, texts: list[str]) -> np.ndarray:
         if len(self.memo) > MEMO_PRETOKENS:
             self.forget()
         split = [self.split(t) if t else [] for t in texts]

@@ -97,3 +97,20 @@ def test_empty_table(spark, docs_of):
     assert bpe.round_trip(df, BYTE_BPE).count() == 0
     token_files.write(df, BYTE_BPE, path)
     assert token_files.documents(spark, path).count() == 0
+
+
+def test_very_long_texts_are_encoded_in_parts(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from graphloom.llm import bpe, shared
+    from graphloom.llm.queries import BYTE_BPE
+
+    rnd, own, library = random.Random(5), bpe.Codec(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    monkeypatch.setattr(shared, "CUT", 10)
+    monkeypatch.setattr(bpe, "CUT", 10)
+    texts = ["".join(rnd.choice(["a", "th", "e", " ", "  ", "\n", ".", "'s", "É", "1", "\t", "<|endoftext|>"]) for _ in range(rnd.randrange(60))) for _ in range(300)]
+    flat, counts = own.encode(texts)
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
