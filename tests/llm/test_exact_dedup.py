@@ -48,7 +48,7 @@ def test_null_ids_come_last(spark):
     assert got == {(None, 5, False), (7, 5, False), (5, 5, True)}
 
 
-def test_index_outlives_batches_and_first_batch_wins(spark, docs_of):
+def test_index_outlives_batches(spark, docs_of):
     from graphloom.llm.shared import scratch
 
     path = scratch(spark, "index")
@@ -58,5 +58,35 @@ def test_index_outlives_batches_and_first_batch_wins(spark, docs_of):
     again = exact_dedup.DigestIndex(spark, path, 4)
     assert [r.keep_id for r in again.add(docs_of(["a          ", "c"], [10, 11])).collect()] == [11]
     assert again.rows().count() == 3
+    # the longer text of the second batch stays in the end
+    assert {(r.keep_id, r.group_size) for r in again.resolved().collect()} == {(10, 3), (1, 1), (11, 1)}
     plan = again.unseen(again.rows().select("digest"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+
+
+def test_paths_that_end_alike_are_two_indexes(spark, docs_of):
+    from graphloom.llm.shared import scratch
+
+    tail = "/" + "t" * 80
+    one, two = (exact_dedup.DigestIndex(spark, scratch(spark, name) + tail, 4) for name in ("one", "two"))
+    one.add(docs_of(["a"]))
+    assert two.rows().count() == 0 and two.add(docs_of(["a"])).count() == 1
+
+
+def test_later_batches_meet_history(spark, docs_of):
+    rows = docs_of(["a b", "c", "ab", "d", "c ", "c", "e", "a  b"])
+    for batches in (1, 2, 4):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.groups(rows, batches=batches).collect()}
+        assert got == brute([(r.doc_id, r.text) for r in rows.collect()])
+
+
+def test_keep_with_clashing_columns_nulls_and_both_joins(spark, monkeypatch):
+    schema = "doc_id long, text string, __digest string, __keep long, id long, digest string, length int, stays boolean, own_0 int, OWN_1 int"
+    extra = ("d", 1, 2, "e", 3, True, 4, 5)
+    rows = [(1, "a b", *extra), (1, "a b", *extra), (2, "ab", *extra), (None, "q", *extra), (None, "q", *extra), (3, None, *extra), (4, " ", *extra), (5, "x" * 100000, *extra), (1, "other", *extra)]
+    df = spark.createDataFrame(rows, schema)
+    for limit in (0, 1000):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", limit)
+        out = exact_dedup.keep(df)
+        assert out.columns == df.columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, "a b"), (None, "q"), (4, " "), (5, "x" * 100000), (1, "other")], key=repr)
