@@ -7,12 +7,16 @@ probabilities of every word's language. A document gets the language with the gr
 posterior over its words, and that mean is its score.
 
 Learning uses a bounded sample: at most ``TRAIN_ROWS`` texts for each language, those of the smallest
-hashes; their words carry their document's language. Prediction reads whole texts.
+hashes, and of those as many as have ``TRAIN_CHARACTERS`` together (one at least); their words carry
+their document's language. Prediction reads whole texts: a chain is a whole text, and its blocks of
+``BLOCK`` words, which are worked on at once, are linked exactly by their transfer matrices.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any row to
 learn from every text is; ties go to the alphabetically first language; words without a letter are
-passed over; scripts without blanks are cut into short runs that count as words; chains are cut after ``CHAIN`` words; repeated rows give repeated results; a row without
-``doc_id`` counts as not held out and is not learned from.
+passed over; scripts without blanks are cut into short runs that count as words; words and texts may be
+of any length; an empty table gives an empty result; repeated rows give repeated results; a row without
+``doc_id`` counts as not held out and is not learned from; columns other than ``doc_id``, ``text`` and, for
+learning, ``lang`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import pieces
 from graphloom.llm.shared import sample_by_hash, text_or_empty, worker_state
 
-TRAIN_ROWS = 150
-CHAIN = 256
+TRAIN_ROWS, TRAIN_CHARACTERS = 150, 2_000_000
+#: Words of a chain that are worked on one after another; blocks of them go side by side.
+BLOCK = 256
 BUCKETS = 1 << 17
 #: A word's n-grams are taken from overlapping slices of so many characters and both end marks.
 WIDTH = 20
@@ -111,55 +116,92 @@ def evidence(model_weights: np.ndarray, ids: np.ndarray, first: np.ndarray) -> n
     return out if len(first) == len(ids) else np.add.reduceat(out, first, axis=0)
 
 
-def _chains(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of chains of at most CHAIN words in sequences of some lengths."""
-    parts = -(-lens // CHAIN)
-    first = np.repeat(np.cumsum(lens) - lens, parts)
-    step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    starts = first + step * CHAIN
-    return starts, np.minimum(CHAIN, np.repeat(lens, parts) - step * CHAIN)
+def _blocks(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length, chain and place of the blocks of chains that follow each other."""
+    parts = -(-lens // BLOCK)
+    chain = np.repeat(np.arange(len(lens)), parts)
+    place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts = (np.cumsum(lens) - lens)[chain] + place * BLOCK
+    return starts, np.minimum(BLOCK, lens[chain] - place * BLOCK), chain, place
 
 
-def forward_backward(scores: np.ndarray, starts: np.ndarray, lens: np.ndarray, transitions: np.ndarray, pairs: bool = False):
-    """Posteriors of every word, and expected transitions, of chains given as ranges of ``scores``.
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows, or matrices, that sum to one."""
+    axes = tuple(range(1, x.ndim))
+    return x / np.maximum(x.sum(axes, keepdims=True), 1e-300)
 
-    All chains advance together, longest first, so that those still running are a prefix.
+
+def forward_backward(scores: np.ndarray, lens: np.ndarray, transitions: np.ndarray, pairs: bool = False):
+    """Posteriors of every word, and expected transitions, of chains that follow each other in ``scores``.
+
+    All blocks advance together, longest first, so that those still running are a prefix. A block that
+    continues a chain is first reduced to the product of its steps; a pass over these products carries
+    what lies before and behind into every block.
     """
-    order = np.argsort(-lens, kind="stable")
-    starts, lens = starts[order], lens[order]
+    starts, sizes, chain, place = _blocks(lens)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes, chain, place = starts[order], sizes[order], chain[order], place[order]
     local = np.exp(scores - scores.max(1, keepdims=True)).astype(np.float64)
     step = np.exp(transitions - transitions.max())
     n, labels = scores.shape
-    longest = int(lens[0]) if len(lens) else 0
-    running = np.searchsorted(-lens, -np.arange(longest), side="left")
+    longest = int(sizes[0]) if len(sizes) else 0
+    running = np.searchsorted(-sizes, -np.arange(longest), side="left")
+    before, behind = _carried(local, step, starts, sizes, chain, place)
+    later = place > 0
     forward = np.zeros((n, labels))
     a = None
     for t in range(longest):
         m = running[t]
         at = starts[:m] + t
-        a = local[at] if t == 0 else (a[:m] @ step) * local[at]
-        a = a / np.maximum(a.sum(1, keepdims=True), 1e-300)
-        forward[at] = a
+        a = np.where(later[:m, None], before[:m] @ step, 1.0) * local[at] if t == 0 else (a[:m] @ step) * local[at]
+        a = forward[at] = _scaled(a)
     posterior, expected = np.zeros((n, labels)), np.zeros((labels, labels))
     b = np.ones((0, labels))
     for t in range(longest - 1, -1, -1):
         m = running[t]
         at = starts[:m] + t
-        back = np.ones((m, labels))
-        if len(b):
-            back[: len(b)] = b
-        p = forward[at] * back
-        posterior[at] = p / np.maximum(p.sum(1, keepdims=True), 1e-300)
+        back = behind[:m].copy()
+        back[: len(b)] = b
+        posterior[at] = _scaled(forward[at] * back)
         inner = back * local[at]
-        if t:
-            if pairs:
-                joint = forward[at - 1][:, :, None] * step[None] * inner[:, None, :]
-                expected += (joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)).sum(0)
-            b = inner @ step.T
-            b = b / np.maximum(b.sum(1, keepdims=True), 1e-300)
+        if pairs:
+            some = slice(None) if t else later[:m]
+            expected += _scaled(forward[at[some] - 1][:, :, None] * step[None] * inner[some][:, None, :]).sum(0)
+        b = _scaled(inner @ step.T)
     return posterior, expected
 
 
+def _carried(local: np.ndarray, step: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chain: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every block the forward vector of the word before it and the backward vector of its last word."""
+    labels = local.shape[1]
+    before, behind = np.ones((len(starts), labels)), np.ones((len(starts), labels))
+    many = np.flatnonzero(np.isin(chain, chain[place > 0]))
+    if not len(many):
+        return before, behind
+    # blocks of one chain only matter where it has several; sizes fall, so those running are a prefix
+    own, length = starts[many], sizes[many]
+    first = place[many] == 0
+    product = np.broadcast_to(np.eye(labels), (len(many), labels, labels)).copy()
+    for t in range(int(length[0])):
+        m = np.searchsorted(-length, -t, side="left")
+        moved = product[:m] @ step if t else np.where(first[:m, None, None], product[:m], product[:m] @ step)
+        product[:m] = _scaled(moved * local[own[:m] + t][:, None, :])
+    by_place = np.lexsort((chain[many], place[many]))
+    bounds = np.flatnonzero(np.diff(place[many][by_place], prepend=-1))
+    levels = np.split(by_place, bounds[1:])
+    ends = np.ones((int(chain.max()) + 1, labels))
+    for level in levels:
+        c = chain[many][level]
+        before[many[level]] = ends[c]
+        ends[c] = _scaled((ends[c][:, None, :] @ product[level])[:, 0])
+    ends[:] = 1.0
+    for level in reversed(levels):
+        c = chain[many][level]
+        behind[many[level]] = ends[c]
+        ends[c] = _scaled((product[level] @ ends[c][:, :, None])[:, :, 0])
+    return before, behind
+
+
 def fit(texts: list[str], langs: list[str]) -> Model:
     """Maximise the conditional likelihood of the sample's labels by adaptive gradient steps."""
     labels = sorted(set(langs))
@@ -178,17 +220,16 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     truth = np.repeat(np.array([labels.index(x) for x in langs]), lens)
     ids, first = feature_ids(list(known))
     slices = np.diff(np.append(first, len(ids)))
-    starts, sizes = _chains(lens)
     gold = np.zeros((size, size))
     inner = np.ones(len(flat), bool)
-    inner[starts] = False
+    inner[(np.cumsum(lens) - lens)[lens > 0]] = False
     np.add.at(gold, (truth[np.flatnonzero(inner) - 1], truth[inner]), 1)
     share = 1.0 / len(flat)
     grown_w, grown_t = np.full(weights.shape, 1e-10, np.float32), np.full(transitions.shape, 1e-8)
     flat_ids = ids.ravel()
     for _ in range(STEPS):
         scores = evidence(weights, ids, first)[flat]
-        posterior, expected = forward_backward(scores, starts, sizes, transitions, pairs=True)
+        posterior, expected = forward_backward(scores, lens, transitions, pairs=True)
         posterior[np.arange(len(flat)), truth] -= 1
         for k in range(size):
             by_word = np.bincount(flat, posterior[:, k], len(known)) * share
@@ -206,7 +247,9 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def train(docs: DataFrame) -> Model | None:
     """Learn from rows with text and language that are not held out."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    sample = sample_by_hash(rows, TRAIN_ROWS, "lang").collect()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(42)), "text")
+    sample = sample_by_hash(rows, TRAIN_ROWS, "lang").withColumn("n", F.row_number().over(order)).withColumn("total", F.sum(F.length("text")).over(order))
+    sample = sample.where((F.col("n") == 1) | (F.col("total") <= TRAIN_CHARACTERS)).select("lang", "text").collect()
     if not sample:
         return None
     sample.sort(key=lambda r: (r.lang, r.text))
@@ -258,7 +301,7 @@ class Labeller:
         worded = self.worded[index]
         lens = np.bincount(np.repeat(np.arange(len(texts)), lens)[worded], minlength=len(texts))
         scores = self.scores[index[worded]]
-        return forward_backward(scores, *_chains(lens), self.model.transitions)[0], lens
+        return forward_backward(scores, lens, self.model.transitions)[0], lens
 
     def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
         posterior, lens = self.posteriors(texts)

@@ -12,7 +12,7 @@ def test_forward_backward_equals_enumeration():
     scores, transitions = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
     starts, lens = np.array([0, 4, 4]), np.array([4, 0, 5])
     keep = lens > 0
-    got, expected = language.forward_backward(scores, starts[keep], lens[keep], transitions, pairs=True)
+    got, expected = language.forward_backward(scores, lens, transitions, pairs=True)
     want, pairs = np.zeros((9, 3)), np.zeros((3, 3))
     for s, n in zip(starts[keep], lens[keep]):
         paths = list(itertools.product(range(3), repeat=int(n)))
@@ -111,3 +111,48 @@ def test_texts_without_blanks_are_read_to_their_end(model):
     assert language.words_of("今日は良い天気 and สวัสดีชาว") == ["今日は良", "い天気", "and", "สวัส", "ดีชา", "ว"]
     cjk = language.fit(["今日は良い天気ですね", "我们今天去北京看朋友"] * 5, ["ja", "zh"] * 5)
     assert language.Labeller(cjk).label(["今日は良い" + "我们今天去北京看朋友" * 9])[0] == ["zh"]
+
+
+def unbroken(scores, transitions):
+    """Forward-backward over one chain, word by word."""
+    local, step = np.exp(scores - scores.max(1, keepdims=True)), np.exp(transitions)
+    a, b = [local[0] / local[0].sum()], [np.ones(scores.shape[1])]
+    for x in local[1:]:
+        v = (a[-1] @ step) * x
+        a.append(v / v.sum())
+    for x in local[:0:-1]:
+        v = step @ (x * b[-1])
+        b.append(v / v.sum())
+    p = np.array(a) * np.array(b[::-1])
+    a, b = np.array(a), np.array(b[::-1])
+    joint = a[:-1, :, None] * step[None] * (local[1:] * b[1:])[:, None, :]
+    return p / p.sum(1, keepdims=True), (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+
+
+def test_long_chains_are_not_broken(monkeypatch):
+    monkeypatch.setattr(language, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    lens = np.array([1000, 0, 7, 8, 1, 300, 14])
+    scores, transitions = rng.normal(size=(lens.sum(), 4)), rng.normal(size=(4, 4)) * 3
+    got, expected = language.forward_backward(scores, lens, transitions, pairs=True)
+    parts = [unbroken(scores[e - n : e], transitions) for n, e in zip(lens, np.cumsum(lens)) if n]
+    assert np.allclose(got, np.concatenate([p for p, _ in parts])) and np.allclose(expected, sum(x for _, x in parts))
+
+
+def test_report_equals_a_brute_force_labelling(docs_of, model):
+    texts = ["the dog und die katze " * 300, "of", "x1 der " + "hund" * 15, None, "12"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs_of(texts), model).collect()}
+    for i, t in enumerate(texts):
+        words = [w for w in (t or "").split() if language.has_letter(w)]
+        if not words:
+            assert got[i] == ("und", 0.0)
+            continue
+        scores = np.array([model.weights[language.feature_ids([w])[0].ravel()].sum(0) for w in words], np.float64)
+        mean = unbroken(scores, model.transitions)[0].mean(0)
+        assert got[i][0] == model.labels[mean.argmax()] and got[i][1] == pytest.approx(mean.max(), abs=1e-4)
+
+
+def test_ends_of_long_words_count():
+    tail = lambda w: set(language.feature_ids([w])[0].ravel().tolist())
+    a, b = tail("q" * 60 + "ing"), tail("q" * 60 + "ung")
+    assert a != b and tail("q" * 60) != tail("q" * 60 + "e")
