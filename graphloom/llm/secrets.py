@@ -13,7 +13,9 @@ near enough; of a neighbouring scope the nearest position decides. So the join i
 Defined cases: a null text has no spans; a row without ``doc_id`` is scanned like any other (rows
 are told apart by content and id, so repeated rows give repeated results); matches that fail their
 length test are dropped without a retry; a weak secret that starts where a base assignment
-starts is that assignment and not reported again.
+starts is that assignment and not reported again; other linked spans may overlap base spans and each
+other; parts and texts may be of any length; an empty table gives an empty result; columns other than
+``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 BASE_KINDS = ("assign", "access", "hex")
 
 #: Weak parts by role.
-IDENTIFIER = r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?key_?id|key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,64}"""
-SECRET = r"""(?i:\b(?:pwd|pass(?:word|wd)?|pin|secret|token|credential|private_?key|auth))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!#$%&*-]{4,128}"""
-ENDPOINT = r"(?i:\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s?ftp|ssh)://[^\s\"'<>]{3,256})"
+IDENTIFIER = r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?key_?id|key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}+"""
+SECRET = r"""(?i:\b(?:pwd|pass(?:word|wd)?|pin|secret|token|credential|private_?key|auth))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!#$%&*-]{4,}+"""
+ENDPOINT = r"(?i:\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s?ftp|ssh)://[^\s\"'<>]{3,}+)"
 
 
 def _base(text: Column) -> Column:

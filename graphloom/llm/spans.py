@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Matches that are placed one after another; more are placed block by block, so the work stays in proportion.
+BLOCK = 256
 SPAN = "array<struct<at:bigint,until:bigint,match:string,left:string,right:string>>"
 
 
@@ -26,9 +28,11 @@ def spans_of(text: Column, pattern: str, context: int = 0) -> Column:
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.arrays_zip(gaps.alias("gap"), found.alias("match"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("next"))
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, n: acc + n)
 
     def step(acc: Column, x: Column) -> Column:
-        gap, match, after = x[x_names[0]], x[x_names[1]], x[x_names[2]]
+        gap, match, after = x["gap"], x["match"], x["next"]
         at = acc["at"] + F.length(gap)
         until = at + F.coalesce(F.length(match), F.lit(0))
         one = F.struct(
@@ -39,9 +43,22 @@ def spans_of(text: Column, pattern: str, context: int = 0) -> Column:
         grown = F.when(match.isNotNull(), F.concat(acc["spans"], F.array(one).cast(SPAN))).otherwise(acc["spans"])
         return F.struct(until.cast("long").alias("at"), grown.alias("spans"))
 
-    x_names = ("gap", "match", "next")
-    start = F.struct(F.lit(0).cast("long").alias("at"), no_spans().alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda acc: acc["spans"])).otherwise(no_spans())
+    def walk(block: Column, at: Column) -> Column:
+        start = F.struct(at.cast("long").alias("at"), no_spans().alias("spans"))
+        return F.aggregate(block, start, step, lambda acc: acc["spans"])
+
+    def many(all_pieces: Column) -> Column:
+        # blocks of pieces keep the growing arrays short; a block starts where the lengths before it add up to
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pieces) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_pieces, b * BLOCK + 1, F.lit(BLOCK)))
+        sized = F.transform(blocks, lambda block: F.struct(block.alias("block"), total(F.transform(block, size)).cast("long").alias("size")))
+        return let(sized, lambda bs: F.flatten(F.transform(bs, lambda b, i: walk(b["block"], total(F.transform(F.slice(bs, F.lit(1), i), lambda x: x["size"]))))))
+
+    return F.when(text.rlike(pattern), let(pieces, lambda p: F.when(F.size(p) <= BLOCK, walk(p, F.lit(0))).otherwise(many(p)))).otherwise(no_spans())
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def tagged(spans: Column, kind: str, order: int) -> Column:

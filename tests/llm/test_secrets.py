@@ -63,3 +63,25 @@ def test_linking_equals_all_pairs(docs_of):
 
 def test_empty_table(docs_of):
     assert secrets.report(docs_of(["a"]).where("doc_id < 0")).count() == 0
+
+
+def test_parts_of_any_length_are_reported_whole(docs_of):
+    texts = ["user: " + "m" * 500 + " pwd: " + "n" * 700, "https://h.example/x pwd: " + "p" * 600]
+    out = {r.doc_id: r.spans for r in secrets.report(docs_of(texts)).collect()}
+    assert out[1] == "secret:20:625"
+    assert out[0] == ""
+    near = {r.doc_id: r.spans for r in secrets.report(docs_of(["user: " + "m" * 150 + " pwd: " + "n" * 700])).collect()}
+    assert near[0] == "identifier:0:156,secret:157:862"
+
+
+def test_recall_of_split_credentials(docs_of):
+    import random
+
+    rnd = random.Random(8)
+    texts, want = [], []
+    for i in range(300):
+        gap = " ".join("word" for _ in range(rnd.randrange(1, 30)))
+        user, word = f"login: name{i}", f"pwd: word{rnd.randrange(10**6)}"
+        texts.append(f"before {user} {gap} {word} after" if i % 2 else f"before {user} {gap} after")
+        want.append(f"identifier:7:{7 + len(user)},secret:{7 + len(user) + len(gap) + 2}:{7 + len(user) + len(gap) + 2 + len(word)}" if i % 2 else "")
+    assert [r.spans for r in secrets.report(docs_of(texts)).orderBy("doc_id").collect()] == want
