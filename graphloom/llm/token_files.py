@@ -148,7 +148,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, parts: int | None = None)
             yield segment()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS).write.mode("errorifexists").option("compression", "none").parquet(f"{path}/segments")
+    # rows that share an id, or have none, are dealt by a hash of their text
+    texts = texts.withColumn("spread", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "spread").sortWithinPartitions("doc_id", "spread", "text")
+    texts.select("doc_id", "text").mapInArrow(run, SEGMENTS).write.mode("errorifexists").option("compression", "none").parquet(f"{path}/segments")
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
