@@ -1,29 +1,45 @@
 """Near-duplicate detection with a MinHash LSH forest and exact confirmation.
 
 A document's set holds its distinct shingles of some words. Documents of equal sets form a class and
-go on as one. ``TREES`` sorted orders of a signature make the forest: documents with a common prefix
-of ``DEPTH`` values in one of them are a region. Within a region members lie in signature order, and
-neighbours are joined at whatever depth their own longest common prefix ends, so dense regions
-collapse into chains at once and sparse ones are searched at the base depth: the chains are compared
-outwards from pivots. Documents that look at least ``LOOSE`` similar end in one coarse cluster, so the
-clusters are a superset of all true links. Each is then settled on the full sets: links found are exact.
-
-A region or cluster of more than ``BLOCK`` members is never held by one task: its members are dealt to
-blocks, and every pair of blocks is a group of its own. No pairs are listed: a group reports a forest.
-
-Chance of missing a link of similarity s: (1 - s**DEPTH)**TREES, 1e-7 at 0.8 and far less above.
+go on as one. The forest has ``TREES`` sorted orders of the signatures: tree t sorts by the values of
+its own ``DEPTH`` positions, then by those of tree t + 1, and so on round the whole signature. Documents
+that share the first ``DEPTH`` values of an order are a region of that tree.
+
+Candidates are neighbours by longest common prefix. Within a region the members lie in the tree's order;
+neighbours whose common prefix reaches ``DEEP`` values are chained at once, and the chains are compared
+outwards from pivots at the base depth. A region of more than ``BLOCK`` members is dense and is searched
+deeper: its members are compared with a few pivots, those close to one leave the region, and what is left is
+cut by further values, ``DEPTH`` at a time, of the later trees in which it is left in a dense region too (whoever
+shares a sparse region with it meets it there), until all regions are small. Sparse regions thus stay at the
+base depth and dense ones go as deep as they must.
+
+Documents that look similar end in one coarse cluster, so the clusters are a superset of all true links.
+Each is then settled on the full sets. A cluster that fits one task (``BLOCK`` members and ``SHINGLES``
+shingles) is settled there. A larger one is dealt to tasks by size and settled in rounds: some members
+are compared with all others on their full sets, which tells all their links; only members outside the
+cluster's largest component are asked in later rounds, until none is left that has not been asked. A link
+that is not known then lies within the largest component. No pairs of a group are listed.
+
+Chance of missing a link of similarity s: (1 - s**DEPTH)**TREES, 1e-7 at 0.8 and far less above. Shingles
+are compared by 64-bit hashes of their words' hashes, which are taken eight bytes at a time through a
+multiplication and a shift each, so sums of powers that agree for unlike words do not fool them.
 
 Defined cases: A-Z count as a-z; words are runs of anything but space, tab, line feed, vertical tab,
 form feed and carriage return; a text of fewer words than a shingle has its whole sequence as its
-one shingle; null and empty texts have an empty set and link with nothing; repeated rows of an id
-give repeated results; a row without ``doc_id`` is its own component, null, and kept.
+one shingle; null and empty texts have an empty set and link with nothing; texts may be of any length;
+repeated rows of an id give repeated results (rows of one id with unlike texts too: their links are
+united); a row without ``doc_id`` is its own component, null, and kept; of a component the smallest id
+stays; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import pieces
@@ -32,15 +48,30 @@ from graphloom.llm.shared import materialise, text_or_empty
 from graphloom.llm.substring_dedup import mix, word_hashes
 
 TREES, DEPTH = 40, 5
-#: Signature values that are compared, and the share of equal ones below which a pair is unlike. With 0.8
-#: of 200 values expected to agree, 0.62 lies more than six standard deviations below.
-LOOSE = 0.62
-BLOCK = 4000
+#: Equal leading values (of a tree's order) that chain neighbours: about as likely by chance as a 40-fold
+#: coincidence, so chained documents are more than 0.9 similar as a rule, and never less than coarsely so.
+DEEP = 40
+#: Members of a region or cluster, and shingles of a cluster, that one task takes at a time.
+BLOCK, SHINGLES = 4000, 4_000_000
+#: Pivots of a dense region in a round; share of equal values at which a member counts as close to a pivot
+#: and leaves, and at which it is linked with it. A document similar to one that left is within 0.37 + 0.2 of
+#: the pivot, four standard deviations allowed, and 0.3 lies another four below that.
+PIVOTS, CLOSE, FAR = 32, 0.75, 0.3
+#: Members of a large cluster that are compared with all others in the first round, and in later ones.
+FIRST, NEXT = 8, 64
 #: At most so many cluster members (some 40 bytes each) are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_MEMBERS = 1_000_000
+_VALUES = TREES * DEPTH
 _RNG = np.random.default_rng(20)
-_XOR = _RNG.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
-_ODD = _RNG.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
+_XOR = _RNG.integers(0, 2**32, _VALUES, dtype=np.uint32)
+_ODD = _RNG.integers(0, 2**32, _VALUES, dtype=np.uint32) | np.uint32(1)
+
+
+def loose(percent: int) -> float:
+    """The share of equal signature values below which a pair is unlike: six standard deviations below its expectation."""
+    s = percent / 100
+    least = s - 6 * math.sqrt(s * (1 - s) / _VALUES)
+    return least + (1 - least) / 256  # a value is kept in one byte, equal by chance in one of 256
 
 
 def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +99,11 @@ def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _signatures(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """Least permuted hashes, one row per document (zero where the set is empty)."""
-    out = np.zeros((n, TREES * DEPTH), np.uint32)
+    out = np.zeros((n, _VALUES), np.uint32)
     if len(row):
         starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         small = (value >> np.uint64(32)).astype(np.uint32)
-        for k in range(TREES * DEPTH):
+        for k in range(_VALUES):
             out[row[starts], k] = np.minimum.reduceat((small ^ _XOR[k]) * _ODD[k], starts)
     return out
 
@@ -112,21 +143,6 @@ def _sketch(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, sum1 long, sum2 long, prefixes array<bigint>, signature binary")
 
 
-def _grouped(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """Rows with a ``part``: one for each group of at most BLOCK, else one for each pair of blocks.
-
-    ``sizes`` has key and n. Members of a large group meet every other block once, so all pairs
-    are covered and no task holds more than two blocks of a group.
-    """
-    joined = rows.join(sizes, key)
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("doc_id"), blocks)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.concat_ws("-", F.least(own, j).cast("string"), F.greatest(own, j).cast("string")))
-    small = joined.where(F.col("n") <= BLOCK).withColumn("part", F.lit("-"))
-    large = joined.where(F.col("n") > BLOCK).withColumn("part", F.explode(pairs))
-    return small.unionByName(large).drop("n")
-
-
 def forest(n: int, alike, chain: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (by position) that connect whatever ``alike`` connects among n members.
 
@@ -149,6 +165,12 @@ def forest(n: int, alike, chain: np.ndarray | None = None) -> list[tuple[int, in
     return out
 
 
+def common_prefixes(signatures: np.ndarray) -> np.ndarray:
+    """How many leading values each row of sorted signatures shares with the next one."""
+    unlike = signatures[1:] != signatures[:-1]
+    return np.where(unlike.any(1), unlike.argmax(1), signatures.shape[1])
+
+
 def _runs(batches, columns: int):
     """Groups of rows that agree on the first columns, from a sorted stream; lists of later columns."""
     key, held = None, None
@@ -157,11 +179,11 @@ def _runs(batches, columns: int):
         for row in zip(*cols, strict=True):
             if row[:columns] != key:
                 if held and len(held) > 1:
-                    yield held
+                    yield key, held
                 key, held = row[:columns], []
             held.append(row[columns:])
     if held and len(held) > 1:
-        yield held
+        yield key, held
 
 
 LINKS = "a long, b long"
@@ -171,52 +193,202 @@ def _links(found) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
-def _coarse(batches):
-    # equal by chance in one of 256
-    least = LOOSE + (1 - LOOSE) / 256
-    for group in _runs(batches, 2):
-        group.sort(key=lambda r: r[1])
-        ids = [r[0] for r in group]
-        s = np.frombuffer(b"".join(r[1] for r in group), np.uint8).reshape(len(group), -1)
-        # neighbours in signature order have the longest common prefixes
-        apart = (s[1:] == s[:-1]).mean(1) < least
-        chain = np.concatenate([[0], np.cumsum(apart)])
+def _coarse(least: float):
+    """Links within small regions; rows are region, tree, doc_id, signature."""
+
+    def run(batches):
+        for (_, tree), group in _runs(batches, 2):
+            s = np.frombuffer(b"".join(r[1] for r in group), np.uint8).reshape(len(group), -1)
+            # the tree's own order: its values first, then those of the trees that follow
+            s = np.roll(s, -tree * DEPTH, axis=1)
+            order = np.lexsort(s.T[::-1])
+            ids, s = [group[i][0] for i in order], s[order]
+            chain = np.concatenate([[0], np.cumsum(common_prefixes(s) < DEEP)])
+
+            def alike(i, rest, s=s):
+                return (s[rest] == s[i]).mean(1) >= least
+
+            yield _links([(ids[i], ids[j]) for i, j in forest(len(ids), alike, chain)])
+
+    return run
+
+
+def _dealt(rows: DataFrame, key: str, pivots: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of large groups in parts of a bounded size, each part led by its group's pivots.
 
-        def alike(i, rest, s=s):
-            return (s[rest] == s[i]).mean(1) >= least
+    ``parts`` has the key and how many parts there are; ``rows`` and ``pivots`` have the same columns.
+    """
+    columns = [c for c in rows.columns if c != key]
+    members = rows.join(parts, key).select(key, F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("place"), *columns)
+    leaders = pivots.join(parts, key).select(key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"), *columns)
+    return members.unionByName(leaders).repartition(key, "part").sortWithinPartitions(key, "part", "place", "doc_id")
 
-        yield _links([(ids[i], ids[j]) for i, j in forest(len(ids), alike, chain)])
+
+def _near_pivots(batches):
+    """For members of dense regions, the pivots that look similar, and whether one is very close; rows are region, part, place, tree, doc_id, signature."""
+    key, names, pivots = None, [], []
+    matrix = None
+    for batch in batches:
+        out = []
+        for region, part, place, tree, doc, signature in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (region, part) != key:
+                key, names, pivots, matrix = (region, part), [], [], None
+            own = np.frombuffer(signature, np.uint8)
+            if place == 0:
+                names.append(doc)
+                pivots.append(own)
+                continue
+            if not names:
+                out.append((region, tree, doc, [], False))
+                continue
+            matrix = np.stack(pivots) if matrix is None else matrix
+            share = (matrix == own).mean(1)
+            out.append((region, tree, doc, [names[i] for i in np.flatnonzero(share >= FAR)], bool(share.max() >= CLOSE)))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["region", "tree", "doc_id", "pivots", "close"])
+
+
+def _few(rows: DataFrame, key: str, n: str, k: int) -> DataFrame:
+    """About ``k`` rows of each key (one at least), those with the least hashes of ids; ``n`` is a column with their number."""
+    # a threshold by number first, so no task ranks a large group
+    place = F.xxhash64(F.lit(key), "doc_id")
+    limit = F.when(F.col(n) <= 4 * k, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64) * (4.0 * k) / F.col(n)).cast("long"))
+    ranked = rows.where(place <= limit).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(place, "doc_id")))
+    return ranked.where(F.col("rank") <= k).drop("rank")
+
+
+def _candidates(firsts: DataFrame, percent: int) -> DataFrame:
+    """Coarse links (a, b) among documents (doc_id, prefixes, signature)."""
+    keys = firsts.select("doc_id", F.posexplode("prefixes").alias("tree", "region"))
+    found, base = None, None
+    while True:
+        sizes = materialise(keys.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "regions")
+        signed = keys.join(sizes, "region").join(firsts.select("doc_id", "signature"), "doc_id").select("region", "tree", "doc_id", "signature", "n")
+        small = signed.where(F.col("n") <= BLOCK).drop("n").repartition("region").sortWithinPartitions("region", "tree", "doc_id")
+        links = small.mapInArrow(_coarse(loose(percent)), LINKS)
+        found = links if found is None else found.unionByName(links)
+        if sizes.where(F.col("n") > BLOCK).isEmpty():
+            return found
+        dense = materialise(signed.where(F.col("n") > BLOCK), "dense-regions")
+        pivots = _few(dense, "region", "n", PIVOTS).drop("n")
+        parts = sizes.where(F.col("n") > BLOCK).select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+        met = materialise(_dealt(dense.drop("n"), "region", pivots, parts).mapInArrow(_near_pivots, "region long, tree int, doc_id long, pivots array<bigint>, close boolean"), "near-pivots")
+        found = found.unionByName(met.select(F.col("doc_id").alias("a"), F.explode("pivots").alias("b")).where("a <> b"))
+        left = met.where("NOT close").select("doc_id", "tree", "region")
+        # trees rise from level to level, so there is an end to it
+        base = left if base is None else base
+        deeper = left.join(base.select("doc_id", F.col("tree").alias("later"), F.col("region").alias("more")), "doc_id").where("later > tree")
+        keys = materialise(deeper.select("doc_id", F.col("later").alias("tree"), F.xxhash64("region", "more").alias("region")), "deeper")
+
+
+class _Sets:
+    """Distinct shingles of some texts, for counting what others share with one of them."""
+
+    def __init__(self, column: pa.Array, words: int, percent: int):
+        self.percent = percent
+        row, value = shingles(column, words)
+        self.sizes = np.bincount(row, minlength=len(column))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.value = value
+
+    def own(self, i: int) -> np.ndarray:
+        return self.value[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+    def fitting(self, size: int, rest: np.ndarray) -> np.ndarray:
+        """Which sets have a size that can be similar enough."""
+        return (self.sizes[rest] * 100 >= size * self.percent) & (size * 100 >= self.sizes[rest] * self.percent)
+
+    def linked(self, other: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Which of some members are linked with a sorted set of shingles."""
+        out = np.zeros(len(rest), bool)
+        fit = self.fitting(len(other), rest)
+        some = rest[fit]
+        if len(some) and len(other):
+            lens = self.sizes[some]
+            ends = np.cumsum(lens)
+            flat = self.value[np.repeat(self.starts[some] - (ends - lens), lens) + np.arange(ends[-1])]
+            at = np.minimum(np.searchsorted(other, flat), len(other) - 1)
+            both = np.add.reduceat((other[at] == flat).astype(np.int64), ends - lens)
+            out[fit] = 100 * both >= self.percent * (lens + len(other) - both)
+        return out
 
 
 def _exact(words: int, percent: int):
+    """All links of small clusters; rows are component, doc_id, text."""
+
     def run(batches):
-        for group in _runs(batches, 2):
+        for _, group in _runs(batches, 1):
             ids = [r[0] for r in group]
-            row, value = shingles(pa.array([r[1] for r in group], pa.string()), words)
-            sizes = np.bincount(row, minlength=len(ids))
-            starts = np.cumsum(sizes) - sizes
-            names, place = np.unique(value, return_inverse=True)
-
-            def alike(i, rest):
-                mark = np.zeros(len(names), np.int64)
-                mark[place[starts[i] : starts[i] + sizes[i]]] = 1
-                # only sets of a fitting size can be similar enough
-                fit = (sizes[rest] * 100 >= sizes[i] * percent) & (sizes[i] * 100 >= sizes[rest] * percent)
-                out = np.zeros(len(rest), bool)
-                some = rest[fit]
-                if len(some):
-                    lens = sizes[some]
-                    ends = np.cumsum(lens)
-                    flat = np.repeat(starts[some] - (ends - lens), lens) + np.arange(ends[-1])
-                    both = np.add.reduceat(mark[place[flat]], ends - lens)
-                    out[fit] = 100 * both >= percent * (lens + sizes[i] - both)
-                return out
-
-            yield _links([(ids[i], ids[j]) for i, j in forest(len(ids), alike)])
+            sets = _Sets(pa.array([r[1] for r in group], pa.large_string()), words, percent)
+            yield _links([(ids[i], ids[j]) for i, j in forest(len(ids), lambda i, rest, sets=sets: sets.linked(sets.own(i), rest))])
+
+    return run
+
+
+def _with_pivots(words: int, percent: int):
+    """Links of members of large clusters with their cluster's pivots; rows are component, part, place, doc_id, text."""
+
+    def run(batches):
+        key, names, sets = None, [], []
+
+        def compare(rows):
+            for part in pieces(pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "text"])):
+                ids, own = part.column(0).to_pylist(), _Sets(part.column(1), words, percent)
+                everyone = np.arange(len(ids))
+                yield _links([(ids[j], name) for name, other in zip(names, sets, strict=True) for j in np.flatnonzero(own.linked(other, everyone)) if ids[j] != name])
+
+        for batch in batches:
+            held = []
+            for component, part, place, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (component, part) != key:
+                    if held:
+                        yield from compare(held)
+                    key, names, sets, held = (component, part), [], [], []
+                if place == 0:
+                    names.append(doc)
+                    sets.append(shingles(pa.array([text], pa.string()), words)[1])
+                else:
+                    held.append((doc, text))
+            if held:
+                yield from compare(held)
 
     return run
 
 
+def _settled(large: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links (a, b) that connect the large clusters' members as their full sets do.
+
+    ``large`` has component, doc_id, n_shingles and text, ``sizes`` component, n and shingles. Whoever has been
+    a pivot has all its links; of two members that have not, at least one is in the largest component.
+    """
+    parts = sizes.select("component", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / SHINGLES)).cast("int").alias("parts"))
+    names = large.select("component", "doc_id", "n_shingles")
+    links, asked, k = None, None, FIRST
+    while True:
+        minor = names
+        if links is not None:
+            own = names.join(materialise(connected(links), "joined").select(F.col("node").alias("doc_id"), F.col("component").alias("own")), "doc_id", "left")
+            own = materialise(own.withColumn("own", F.coalesce("own", "doc_id")), "own-components")
+            most = own.groupBy("component", "own").agg(F.count(F.lit(1)).alias("m")).groupBy("component").agg(F.max(F.struct("m", "own")).alias("most"))
+            minor = own.join(most, "component").where("own <> most.own").join(asked, "doc_id", "left_anti").select("component", "doc_id", "n_shingles")
+        minor = materialise(minor, "minor")
+        waiting = minor.groupBy("component").agg(F.count(F.lit(1)).alias("waiting"))
+        pivots = _few(minor.join(waiting, "component"), "component", "waiting", k)
+        # as many as one task can hold beside the members it streams, one at least
+        room = F.sum("n_shingles").over(Window.partitionBy("component").orderBy("n_shingles", "doc_id")) - F.col("n_shingles")
+        pivots = materialise(pivots.withColumn("before", room).where(F.col("before") <= SHINGLES).select("component", "doc_id"), "pivots")
+        if pivots.isEmpty():
+            return links
+        busy = large.join(pivots.select("component").distinct(), "component", "left_semi").select("component", "doc_id", "text")
+        leaders = busy.join(pivots, ["component", "doc_id"], "left_semi")
+        new = materialise(_dealt(busy, "component", leaders, parts).mapInArrow(_with_pivots(words, percent), LINKS), "pivot-links")
+        links = new if links is None else links.unionByName(new)
+        pivots = pivots.select("doc_id")
+        asked = pivots if asked is None else asked.unionByName(pivots)
+        k = NEXT
+
+
 def components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     sketch = materialise(_sketch(docs, words), "sketches")
@@ -225,29 +397,29 @@ def components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     classes = alive.groupBy(*same).agg(F.min("doc_id").alias("first"))
     # one member of each class goes on; rows that repeat an id are one
     firsts = alive.join(classes.select(F.col("first").alias("doc_id"), *same), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id"])
-    firsts = materialise(firsts.select("doc_id", "prefixes", "signature"), "classes")
-    keys = firsts.select("doc_id", F.explode("prefixes").alias("prefix"))
-    regions = materialise(keys.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "regions")
-    members = _grouped(keys, "prefix", regions).join(firsts.select("doc_id", "signature"), "doc_id")
-    near = members.select("prefix", "part", "doc_id", "signature").repartition("prefix", "part").sortWithinPartitions("prefix", "part", "doc_id")
-    clusters = connected(near.mapInArrow(_coarse, LINKS))
-    clusters = materialise(clusters, "clusters")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    dealt = materialise(_grouped(clusters.withColumnRenamed("node", "doc_id"), "component", sizes), "dealt")
-    if dealt.count() <= BROADCAST_MEMBERS:
+    firsts = materialise(firsts.select("doc_id", "n_shingles", "prefixes", "signature"), "classes")
+    clusters = materialise(connected(_candidates(firsts.drop("n_shingles"), percent)), "clusters").withColumnRenamed("node", "doc_id")
+    clusters = materialise(clusters.join(firsts.select("doc_id", "n_shingles"), "doc_id"), "cluster-members")
+    sizes = materialise(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")), "cluster-sizes")
+    is_large = (F.col("n") > BLOCK) | (F.col("shingles") > SHINGLES)
+    dealt = clusters.join(sizes.select("component", is_large.alias("large")), "component")
+    if clusters.count() <= BROADCAST_MEMBERS:
         # few documents have a near copy: their texts are picked in the scan, and the others stay where they are
         dealt = F.broadcast(dealt)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    texts = dealt.join(texts, "doc_id").select("component", "part", "doc_id", "text").repartition("component", "part").sortWithinPartitions("component", "part", "doc_id")
-    exact = connected(texts.mapInArrow(_exact(words, percent), LINKS))
-    exact = materialise(exact, "components")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id IS NOT NULL")
+    texts = dealt.join(texts, "doc_id").select("component", "doc_id", "n_shingles", "large", "text")
+    found = texts.where("NOT large").select("component", "doc_id", "text").repartition("component").sortWithinPartitions("component", "doc_id").mapInArrow(_exact(words, percent), LINKS)
+    if not sizes.where(is_large).isEmpty():
+        large = materialise(texts.where("large").drop("large"), "large-clusters")
+        found = found.unionByName(_settled(large, sizes.where(is_large), words, percent))
+    exact = materialise(connected(found), "components")
     of_class = classes.join(exact.withColumnRenamed("node", "first"), "first", "left").select(*same, F.coalesce("component", "first").alias("component"))
     out = sketch.select("doc_id", *same).join(of_class, same, "left")
-    found = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all its columns."""
-    gone = materialise(components(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = materialise(components(docs, words, percent).where("NOT kept").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

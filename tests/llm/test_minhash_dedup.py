@@ -62,16 +62,36 @@ def test_documents(documents):
     assert result(documents) == brute([(r.doc_id, r.text) for r in documents.collect()])
 
 
-def test_large_groups_are_dealt_to_blocks(docs_of, monkeypatch):
-    monkeypatch.setattr(md, "BLOCK", 3)
-    monkeypatch.setattr(md, "BROADCAST_MEMBERS", -1)
+def test_dense_regions_and_large_clusters(docs_of, monkeypatch):
+    for name, value in (("BLOCK", 5), ("PIVOTS", 3), ("FIRST", 3), ("NEXT", 9), ("BROADCAST_MEMBERS", -1)):
+        monkeypatch.setattr(md, name, value)
     own = texts()
     assert result(docs_of(own)) == brute(list(enumerate(own)))
 
 
+def test_clusters_are_dealt_by_size_of_their_texts(docs_of, monkeypatch):
+    monkeypatch.setattr(md, "SHINGLES", 60)
+    own = texts()
+    assert result(docs_of(own)) == brute(list(enumerate(own)))
+
+
+def test_common_prefixes():
+    import numpy as np
+
+    assert md.common_prefixes(np.array([[1, 2, 3], [1, 2, 4], [1, 2, 4], [2, 2, 4]])).tolist() == [2, 3, 0]
+
+
+def test_words_that_fool_sums_of_powers(docs_of):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    assert len(one) == 1024 and result(docs_of([one, other])) == {0: (1, 0, True), 1: (1, 1, True)}
+
+
 def test_keep_leaves_one_of_each(docs_of):
     own = texts()
-    df = docs_of(own)
+    df = docs_of(own).withColumnsRenamed({"lang": "__gone", "source": "component"})
     out = md.keep(df)
     assert out.columns == df.columns
     assert {r.doc_id for r in out.select("doc_id").collect()} == {i for i, v in brute(list(enumerate(own)), 5).items() if v[2]}
