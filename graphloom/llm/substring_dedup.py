@@ -1,12 +1,13 @@
 """Substring deduplication on a log-structured fingerprint index.
 
 Every window of ``WINDOW`` consecutive words has an anchor: the least hash of the ``GRAM``-word
-sequences in it. Equal windows have equal anchors, and a document has few, so the index keeps anchors
-only: immutable runs of (anchor, doc_id, windows), bucketed and sorted by anchor. A batch becomes a run of
-its own, is merge-joined with the runs of history bucket by bucket (no shuffle), and only windows
-whose anchor another document has too are fingerprinted in full (96 bits), in the batch and in the
-historical documents that share the anchor. A fingerprint's least doc_id then verifies every window.
-``compact`` merges runs.
+sequences in it. Equal windows have equal anchors, and a document has few, so of the window hashes the index
+keeps these: immutable runs of (anchor, doc_id, windows), bucketed and sorted by anchor. A batch becomes a run
+of its own and is merge-joined with the runs of history bucket by bucket (no shuffle). Only windows whose
+anchor another document has too are fingerprinted in full (96 bits), in the batch and in those historical
+documents that share an anchor with it; the rest of history is not hashed again. A fingerprint's least
+doc_id then verifies every window. Runs are compacted by levels: ``FANOUT`` runs of a level become one of
+the next, so a row is rewritten a logarithmic number of times.
 
 Result: each word covered by a window whose word sequence also starts in a document with a smaller
 ``doc_id`` goes. Windows are judged on the texts as they came in.
@@ -15,33 +16,38 @@ Defined cases: words are runs of anything but space, tab, line feed, vertical ta
 carriage return; null and empty texts have none; documents of fewer than ``WINDOW`` words lose
 nothing; rows that share a ``doc_id`` do not affect each other; rows without ``doc_id`` lose nothing
 and serve as nobody's original; batches may come in any order of ids, but words are only removed
-from the batch's own documents.
+from the batch's own documents; texts may be of any length; an empty table gives an empty result; columns
+other than ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import pieces
-from graphloom.llm.shared import materialise, scratch, text_or_empty
+from graphloom.llm.shared import batches_of, materialise, scratch, text_or_empty
 
 WINDOW = 50
 GRAM = 10
-#: At most so many shared anchors (12 bytes each), documents with removals (some 50 bytes each) and window
-#: starts (4 bytes each) are broadcast; more are joined by shuffle.
+#: At most so many shared anchors (12 bytes each), documents with removals (some 50 bytes each), ids of
+#: historical documents (8 bytes each) and window starts (4 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ANCHORS = 2_000_000
-BROADCAST_DOCUMENTS = 500_000
+BROADCAST_DOCUMENTS, BROADCAST_IDS = 500_000, 2_000_000
 BROADCAST_STARTS = 20_000_000
 #: Windows of an anchor that has more of them are dealt to several tasks, this many to each.
 HOT = 2000
-#: Runs that trigger compaction.
-MAX_RUNS = 6
+#: Runs of a level that are compacted into one of the next.
+FANOUT = 2
+#: Words of more bytes are hashed by a library.
+LONG = 4096
 
 _ODD = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,7 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -98,9 +104,28 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
     starts = np.flatnonzero(inside & (~before | border[:-1]))
     ends = np.flatnonzero(inside & (~after | border[1:])) + 1
-    hashed = mix(ranges(_BYTES[data], _ODD, starts, ends) + (ends - starts).astype(np.uint64))
     bounds = np.searchsorted(starts, offsets)
-    return hashed, np.diff(bounds)
+    return _hashed(data, starts, ends), np.diff(bounds)
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words given as ranges of bytes: eight bytes at a time, each step a bijection of what it takes in.
+
+    Words of one length up to eight bytes never collide. Very long words go through a cryptographic hash.
+    """
+    lens = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(lens.astype(np.uint64) * np.uint64(_ODD) + np.uint64(1))
+    for i in np.flatnonzero(lens > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    at, k = np.flatnonzero(lens <= LONG), 0
+    while len(at):
+        left = lens[at] - k
+        taken = eights[starts[at] + k] & _MASKS[np.minimum(left, 8)]
+        out[at] = mix((out[at] ^ taken) * np.uint64(0x9FB21C651E98DF25))
+        at, k = at[left > 8], k + 8
+    return out
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -209,14 +234,20 @@ def shared_windows(docs: DataFrame, shared: DataFrame, places: DataFrame) -> Dat
         for batch in batches:
             for piece in pieces(batch):
                 w = Windows(piece.column(1))
-                anchor, some, salts = w.anchor.view(np.int64), [], []
-                for k, found in enumerate(piece.column(2).to_pylist()):
-                    cut = {x["anchor"]: x["salts"] for x in found}
-                    own = np.flatnonzero(w.row == k)
-                    own = own[np.isin(anchor[own], list(cut))]
-                    some.append(own)
-                    salts.append(np.array([cut[x] for x in anchor[own].tolist()], np.int64))
-                yield _window_batch(piece, w, np.concatenate(some), np.concatenate(salts))
+                listed = piece.column(2)
+                lens = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
+                flat = listed.flatten()
+                anchor, salts = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                # a document's windows look for their anchor among its own: pairs of row and anchor, sorted
+                names, code = np.unique(anchor, return_inverse=True)
+                pair = np.repeat(np.arange(len(lens)), lens) * len(names) + code
+                order = np.argsort(pair)
+                own = w.anchor.view(np.int64)
+                found = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                wanted = w.row * len(names) + found
+                place = np.minimum(np.searchsorted(pair[order], wanted), len(pair) - 1)
+                some = np.flatnonzero((names[found] == own) & (pair[order][place] == wanted))
+                yield _window_batch(piece, w, some, salts[order][place[some]])
 
     by_doc = places.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "salts")).alias("anchors"))
     return texts.join(by_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(run_joined, WINDOWS)
@@ -272,11 +303,14 @@ class FingerprintIndex:
 
     def append(self, docs: DataFrame) -> str:
         """Make a batch's anchors a new run."""
-        runs = self.runs()
-        run = f"run-{int(runs[-1][4:]) + 1 if runs else 0:06d}"
+        run = f"run-{self._next()}-0"
         self._write(anchors(docs), run)
         return run
 
+    def _next(self) -> str:
+        runs = self.runs()
+        return f"{int(runs[-1].split('-')[1]) + 1 if runs else 0:06d}"
+
     def shared(self, run: str) -> DataFrame:
         """Anchors of ``run`` that some other document has too, there or in an earlier run, with their windows (n)."""
         bounds = lambda r: self.read(r).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("windows").alias("n"))
@@ -287,18 +321,32 @@ class FingerprintIndex:
                 out = out.join(old.hint("merge"), "anchor", "left").select("anchor", F.least("lo", "old_lo").alias("lo"), F.greatest("hi", "old_hi").alias("hi"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("n"))
         return out.where("lo < hi").select("anchor", "n")
 
-    def compact(self) -> None:
-        """Merge all runs into one."""
-        runs = self.runs()
-        if len(runs) < 2:
-            return
-        merged = self.read(runs[0])
-        for run in runs[1:]:
-            merged = merged.unionByName(self.read(run))
-        self._write(merged, f"run-{int(runs[-1][4:]) + 1:06d}")
+    def places(self, shared: DataFrame, runs: list[str]) -> DataFrame | None:
+        """anchor and doc_id of the rows of some runs whose anchor is in ``shared``: a merge join run by run."""
+        out = None
         for run in runs:
-            self.spark.sql(f"DROP TABLE {self._table(run)}")
-            self._files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{run}"), True)
+            # a union of bucketed scans must not pass for a bucketed scan, so each is joined alone
+            part = self.read(run).join(shared.select("anchor").hint("merge"), "anchor", "left_semi").select("anchor", "doc_id")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def compact(self) -> None:
+        """Merge the runs of every level that has FANOUT of them into one of the next level."""
+        while True:
+            levels: dict[int, list[str]] = {}
+            for run in self.runs():
+                levels.setdefault(int(run.split("-")[2]), []).append(run)
+            full = [(level, runs) for level, runs in sorted(levels.items()) if len(runs) >= FANOUT]
+            if not full:
+                return
+            level, runs = full[0]
+            merged = self.read(runs[0])
+            for run in runs[1:]:
+                merged = merged.unionByName(self.read(run))
+            self._write(merged, f"run-{self._next()}-{level + 1}")
+            for run in runs:
+                self.spark.sql(f"DROP TABLE {self._table(run)}")
+                self._files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{run}"), True)
 
 
 def duplicates(batch: DataFrame, index: FingerprintIndex, history: DataFrame | None = None) -> DataFrame:
@@ -309,14 +357,14 @@ def duplicates(batch: DataFrame, index: FingerprintIndex, history: DataFrame | N
     """
     run = index.append(batch)
     shared = materialise(index.shared(run), "shared-anchors")
-    places = index.read(run)
-    windows = shared_windows(batch, shared, places).withColumn("fresh", F.lit(True))
-    if history is not None:
-        old = index.read(index.runs()[0])
-        for other in index.runs()[1:]:
-            if other < run:
-                old = old.unionByName(index.read(other))
-        windows = windows.unionByName(shared_windows(history, shared, old).withColumn("fresh", F.lit(False)))
+    windows = shared_windows(batch, shared, index.places(shared, [run])).withColumn("fresh", F.lit(True))
+    older = [r for r in index.runs() if r < run]
+    if history is not None and older:
+        places = materialise(index.places(shared, older), "old-places")
+        met = materialise(places.select(F.col("doc_id").alias("met")).distinct(), "history-documents")
+        side = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
+        some = history.join(side, history["doc_id"].cast("long") == met["met"], "left_semi")
+        windows = windows.unionByName(shared_windows(some, shared, places).withColumn("fresh", F.lit(False)))
     windows = _by_window(windows)
     first = windows.groupBy("one", "two", "salt").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     # windows of common anchors are cut into parts: the parts' bounds meet in a second, small aggregation and go
@@ -329,8 +377,7 @@ def duplicates(batch: DataFrame, index: FingerprintIndex, history: DataFrame | N
     found = fresh.where("salt < 0").join(whole.drop("most"), ["one", "two", "salt"]).select("doc_id", "version", "start", "least")
     found = found.unionByName(fresh.where("salt >= 0").join(cut, ["one", "two", "salt"]).select("doc_id", "version", "start", "least")).where("doc_id > least")
     found = found.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"))
-    if len(index.runs()) >= MAX_RUNS:
-        index.compact()
+    index.compact()
     return found
 
 
@@ -370,18 +417,12 @@ def dedup(batch: DataFrame, index: FingerprintIndex, history: DataFrame | None =
     return removals(batch, duplicates(batch, index, history))
 
 
-def report(docs: DataFrame, index: FingerprintIndex, batches: int = 2) -> DataFrame:
+def report(docs: DataFrame, index: FingerprintIndex, batches: int = 3) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of a whole table, taken in by ascending ids in some batches."""
-    cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    cuts = sorted({int(c) for c in cuts})
     out, history = None, None
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        own = docs
-        own = own.where(F.col("doc_id").isNull() | (F.col("doc_id") < high)) if low is None and high is not None else own
-        own = own.where(F.col("doc_id") >= low) if low is not None else own
-        own = own.where(F.col("doc_id") < high) if low is not None and high is not None else own
+    for own in batches_of(docs, batches):
         part = duplicates(own, index, history)
         out = part if out is None else out.unionByName(part)
-        history = own if history is None else docs.where(F.col("doc_id") < high) if high is not None else None
+        history = own if history is None else history.unionByName(own)
     done = removals(docs, out)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

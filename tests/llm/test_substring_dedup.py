@@ -84,11 +84,32 @@ def test_shuffle_paths_and_compaction(spark, docs_of, monkeypatch):
     monkeypatch.setattr(sd, "HOT", 3)
     monkeypatch.setattr(sd, "BROADCAST_ANCHORS", -1)
     monkeypatch.setattr(sd, "BROADCAST_DOCUMENTS", -1)
-    monkeypatch.setattr(sd, "MAX_RUNS", 2)
+    monkeypatch.setattr(sd, "BROADCAST_IDS", -1)
     index = sd.FingerprintIndex(spark, scratch(spark, "f"), 4)
     own = texts()
-    assert result(docs_of(own), index, 3) == sorted(brute(list(enumerate(own))), key=repr)
-    assert len(index.runs()) == 1
+    assert result(docs_of(own), index, 4) == sorted(brute(list(enumerate(own))), key=repr)
+    # four runs of the lowest level became two and then one
+    assert [r.split("-")[2] for r in index.runs()] == ["2"]
+
+
+def test_words_that_fool_sums_of_powers(spark, docs_of):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    own = [" ".join([w] * 60) for w in (one, other, "x" * 5000, "x" * 4999 + "y", "é" * 8 + "a", "é" * 8 + "b")]
+    assert result(docs_of(own), sd.FingerprintIndex(spark, scratch(spark, "f"), 4)) == sorted(brute(list(enumerate(own))), key=repr)
+
+
+def test_word_hashes_tell_words_apart():
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    words = {"".join(rnd.choice("abé") for _ in range(rnd.randrange(1, 40))) for _ in range(3000)} | {"z" * n for n in range(1, 70)}
+    words = sorted(words)
+    hashes, counts = sd.word_hashes(pa.array([" ".join(words)] + words))
+    assert counts.tolist() == [len(words)] + [1] * len(words)
+    assert len(set(hashes[: len(words)].tolist())) == len(words) and hashes[: len(words)].tolist() == hashes[len(words) :].tolist()
 
 
 def test_documents(spark, documents):
