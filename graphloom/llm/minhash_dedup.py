@@ -198,11 +198,11 @@ def _coarse(least: float):
 
     def run(batches):
         for (_, tree), group in _runs(batches, 2):
-            s = np.frombuffer(b"".join(r[1] for r in group), np.uint8).reshape(len(group), -1)
             # the tree's own order: its values first, then those of the trees that follow
-            s = np.roll(s, -tree * DEPTH, axis=1)
-            order = np.lexsort(s.T[::-1])
-            ids, s = [group[i][0] for i in order], s[order]
+            first = tree * DEPTH
+            rolled = sorted((r[1][first:] + r[1][:first], r[0]) for r in group)
+            ids = [doc for _, doc in rolled]
+            s = np.frombuffer(b"".join(own for own, _ in rolled), np.uint8).reshape(len(ids), -1)
             chain = np.concatenate([[0], np.cumsum(common_prefixes(s) < DEEP)])
 
             def alike(i, rest, s=s):
