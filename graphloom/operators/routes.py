@@ -5,7 +5,9 @@ all of its inputs together. Costs add up. The search is a fixed point over DataF
 joins the routes known so far with the steps they can feed; it ends when no list changes. A route is
 dropped only if ``k`` cheaper ones of its node pass no other nodes than it does, since each of those can
 then stand in for it wherever it could be used; so the ``k`` cheapest routes of a target are never lost.
-Only nodes behind the targets take part.
+Only nodes behind the targets take part, steps that can only lead back to their own inputs are taken out
+first, and of the nodes that a route passes only those count that may lie on a cycle: no other can be met
+twice. In a graph without cycles each node thus keeps ``k`` routes.
 """
 
 from __future__ import annotations
@@ -64,21 +66,24 @@ def cheapest(steps_: DataFrame, sources: DataFrame, targets: DataFrame, k: int =
     way are left out.
     """
     behind = reach(steps_.select(F.col("output").alias("a"), F.col("input").alias("b")), targets.select(F.col("node").alias("source")), include_seeds=True).select(F.col("node").alias("output")).distinct()
-    own = written(steps_.join(behind, "output", "left_semi"), "steps")
+    own = _useful(steps_.join(behind, "output", "left_semi"), targets)
+    cyclic = written(_cyclic(own), "cycles").withColumn("cyclic", F.lit(True))
+    own = written(own.join(cyclic.withColumnRenamed("node", "output"), "output", "left"), "steps")
+    passed = lambda name: F.when(F.col("cyclic"), F.array(name)).otherwise(F.array().cast("array<string>"))
     arity = own.groupBy("output", "step").agg(F.max("position").alias("last"))
     widest = own.agg(F.max("position")).first()[0] or 0
-    base = sources.select("node", F.coalesce("cost", F.lit(0.0)).alias("cost"), F.array(F.concat_ws(" ", F.lit("value"), "node")).alias("route"), F.array("node").alias("nodes"))
+    base = sources.join(cyclic, "node", "left").select("node", F.coalesce("cost", F.lit(0.0)).alias("cost"), F.array(F.concat_ws(" ", F.lit("value"), "node")).alias("route"), passed("node").alias("nodes"))
     best = written(base, "routes")
     before = None
     while True:
         grown = None
         partial = own.where("position = 0").join(best.withColumnsRenamed({"cost": "c", "node": "input"}), "input").where(~F.array_contains("nodes", F.col("output")))
-        partial = partial.select("output", "step", (F.col("cost") + F.col("c")).alias("cost"), F.concat(F.array("step"), "route").alias("route"), F.array_union(F.array("output"), F.col("nodes")).alias("nodes"))
+        partial = partial.select("output", "step", (F.col("cost") + F.col("c")).alias("cost"), F.concat(F.array("step"), "route").alias("route"), F.array_sort(F.array_union(passed("output"), "nodes")).alias("nodes"))
         for position in range(widest + 1):
             if position:
                 more = own.where(F.col("position") == position).select("output", "step", "input")
                 partial = partial.join(more, ["output", "step"]).join(best.select(F.col("node").alias("input"), F.col("cost").alias("c"), F.col("route").alias("r"), F.col("nodes").alias("n")), "input")
-                partial = partial.where(~F.array_contains("n", F.col("output"))).select("output", "step", (F.col("cost") + F.col("c")).alias("cost"), F.concat("route", "r").alias("route"), F.array_union("nodes", "n").alias("nodes"))
+                partial = partial.where(~F.array_contains("n", F.col("output"))).select("output", "step", (F.col("cost") + F.col("c")).alias("cost"), F.concat("route", "r").alias("route"), F.array_sort(F.array_union("nodes", "n")).alias("nodes"))
                 partial = _top(partial, ["output", "step"], k)
             done = partial.join(arity.where(F.col("last") == position), ["output", "step"], "left_semi").select(F.col("output").alias("node"), "cost", "route", "nodes")
             grown = done if grown is None else grown.unionByName(done)
@@ -91,8 +96,39 @@ def cheapest(steps_: DataFrame, sources: DataFrame, targets: DataFrame, k: int =
     return ranked.where(F.col("rank") <= k).select(F.col("node").alias("target"), "rank", "cost", "route")
 
 
+def _useful(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Steps to a target, or to a node that some other than their own inputs is derived from."""
+    aims = targets.select(F.col("node").alias("output")).distinct()
+    rows, before = written(rows, "steps"), None
+    while (n := rows.count()) != before:
+        before = n
+        # a node (output) and what is derived from it (input), turned so that they meet the step back
+        uses = rows.select(F.col("input").alias("output"), F.col("output").alias("input")).distinct()
+        back = rows.join(uses, ["output", "input"]).groupBy("output", "step").agg(F.countDistinct("input").alias("back"))
+        used = rows.select("output", "step").distinct().join(uses.groupBy("output").agg(F.count(F.lit(1)).alias("uses")), "output")
+        ahead = used.join(back, ["output", "step"], "left").where(F.col("uses") > F.coalesce("back", F.lit(0))).select("output", "step")
+        final = rows.join(aims, "output", "left_semi").select("output", "step")
+        rows = written(rows.join(ahead.unionByName(final), ["output", "step"], "left_semi"), "steps")
+    return rows
+
+
+def _cyclic(rows: DataFrame) -> DataFrame:
+    """The nodes that may lie on a cycle: what is left when nodes without inputs or without uses go, again and again."""
+    edges, before = rows.select("input", "output").distinct(), None
+    while True:
+        edges = written(edges, "edges")
+        if (n := edges.count()) in (0, before):
+            return edges.select(F.col("output").alias("node")).distinct()
+        before = n
+        made, fed = edges.select(F.col("output").alias("input")), edges.select(F.col("input").alias("output"))
+        edges = edges.join(made, "input", "left_semi").join(fed, "output", "left_semi")
+
+
 def _top(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Rows (cost, route, nodes) without those that ``k`` cheaper ones of their key make needless."""
+    # of routes over the same nodes k are enough, which is settled before any list is made
+    alike = Window.partitionBy(*keys, "nodes").orderBy("cost", "route")
+    rows = rows.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k).drop("n")
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cost", "route", "nodes"))).alias("all"))
     within = lambda y, x: F.size(F.array_except(y["nodes"], x["nodes"])) == 0
     keep = lambda acc, x: F.when(F.size(F.filter(acc, lambda y: within(y, x))) < k, F.concat(acc, F.array(x))).otherwise(acc)

@@ -102,3 +102,23 @@ def test_streams(spark, tmp_path):
     lifted = triples.lift_events(events)
     assert lifted.count() == events.count() * (len(events.columns) - 1)
     assert triples.windowed_counts(lifted).agg(F.sum("n")).first()[0] == lifted.count()
+
+
+def test_two_way_edges_with_leaves_equal_enumeration(spark):
+    links = [("t", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "t"), *[("b", f"leaf{i}") for i in range(6)], *[("a", f"twig{i}") for i in range(3)]]
+    into = {}
+    for x, y in links:
+        into.setdefault(x, []).append(y)
+        into.setdefault(y, []).append(x)
+    own = {"leaf0": 3.0, "leaf1": 0.5, "leaf2": 0.25, "leaf3": 7.0, "twig0": 4.25, "twig2": 4.5, "c": 3.75}
+
+    def ways(node, seen):
+        found = [own[node]] if node in own else []
+        for other in into[node]:
+            if other not in seen:
+                found += [2.0 + cost for cost in ways(other, seen | {other})]
+        return found
+
+    got = cheapest(spark, [(x, routes.MAPS_TO, y) for x, y in links], list(own.items()), ["t", "leaf0"], k=5)
+    for target in ("t", "leaf0"):
+        assert [cost for name, _, cost, _ in got if name == target] == sorted(ways(target, {target}))[:5]
