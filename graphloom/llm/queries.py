@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from graphloom.llm import bpe, decontamination, exact_dedup, language, minhash_dedup, pii, secrets, substring_dedup, token_counts, token_files
+from graphloom.llm import bpe, clustering, decontamination, exact_dedup, importance, language, minhash_dedup, packing, pii, secrets, substring_dedup, token_counts, token_files
 from graphloom.llm.shared import scratch
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -62,6 +62,20 @@ def op10_minhash_dedup(spark, sf_dir):
     return minhash_dedup.components(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_packing(spark, sf_dir):
+    path = scratch(spark, "packing")
+    packing.write(table(spark, sf_dir, "documents"), BYTE_BPE, path)
+    return packing.pieces(spark, path)
+
+
+def op12_clustering(spark, sf_dir):
+    return clustering.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -73,6 +87,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_packing": op11_packing,
+    "op12_clustering": op12_clustering,
+    "op13_importance": op13_importance,
 }
 
 ORACLES = {
