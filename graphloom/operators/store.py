@@ -12,6 +12,8 @@ from graphloom.operators.closure import edges_of, reach
 from graphloom.workspace import written
 
 SCHEMA = "s string, p string, o string"
+#: Adds after which a store is written anew, so that its plan has so many scans at most.
+CHANGES = 16
 
 
 class UniquenessError(ValueError):
@@ -33,6 +35,7 @@ class TripleStore:
         self.spark = spark
         self.df = triples.select("s", "p", "o") if triples is not None else spark.createDataFrame([], SCHEMA)
         self.prefixes = dict(PREFIXES) | (prefixes or {})
+        self._changes = 0
 
     # -- life ----------------------------------------------------------------------------------
 
@@ -46,7 +49,7 @@ class TripleStore:
 
     def settle(self) -> TripleStore:
         """Cut the lineage of many changes by writing the triples to the shared folder."""
-        self.df = written(self.df, "triples")
+        self.df, self._changes = written(self.df, "triples"), 0
         return self
 
     def bind(self, prefix: str, namespace: str | None) -> TripleStore:
@@ -143,14 +146,17 @@ class TripleStore:
     def add(self, triples: DataFrame | list) -> TripleStore:
         """Add triples; those already there stay single.
 
-        The store is only probed with the new rows (which are broadcast if they are few), not shuffled.
+        The store is only probed with the new rows (which are broadcast if they are few), not shuffled. Rows that are
+        really new are written, so the store stays in its plan once; after ``CHANGES`` adds it is settled.
+        A store that changes for long is better kept as a ``VersionedStore``.
         """
         if isinstance(triples, list):
             triples = self.spark.createDataFrame([tuple(self.term(x) for x in t) for t in triples], SCHEMA)
         new = triples.select("s", "p", "o").distinct()
         known = self.df.join(new, ["s", "p", "o"], "left_semi").distinct()
-        self.df = self.df.unionByName(new.join(known, ["s", "p", "o"], "left_anti").select("s", "p", "o"))
-        return self
+        self.df = self.df.unionByName(written(new.join(known, ["s", "p", "o"], "left_anti").select("s", "p", "o"), "added"))
+        self._changes += 1
+        return self.settle() if self._changes >= CHANGES else self
 
     def remove(self, s=None, p=None, o=None) -> TripleStore:
         """Remove matching triples; without any argument, all."""
