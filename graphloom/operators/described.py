@@ -62,22 +62,6 @@ def functions_of(store) -> DataFrame:
     return plain.unionByName(listed)
 
 
-def route_counts(steps: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """node and routes: how many ways lead to each node in at most ``rounds`` steps; alternatives add up, inputs of one call multiply."""
-    from graphloom.workspace import written
-
-    known = sources.select("node", F.lit(1.0).alias("routes")).distinct()
-    first = known
-    arity = steps.groupBy("output", "step").agg(F.count_distinct("position").alias("arity"))
-    for _ in range(rounds):
-        calls = steps.join(known.withColumnRenamed("node", "input"), "input").groupBy("output", "step").agg(
-            F.round(F.exp(F.sum(F.log("routes")))).alias("ways"), F.count_distinct("position").alias("have")
-        )
-        full = calls.join(arity, ["output", "step"]).where("have = arity").select(F.col("output").alias("node"), F.col("ways").alias("routes"))
-        known = written(full.unionByName(first).groupBy("node").agg(F.sum("routes").alias("routes")), "route-counts")
-    return known
-
-
 def data_triples(rows: DataFrame, value: str = EMMO + "hasNumericalValue", unit: str = EMMO + "hasMeasurementUnit") -> DataFrame:
     """Data sources (iri, type, value, unit) as individuals that a value hangs on."""
     return _flat(rows, [

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms
 from graphloom.functions.names import PREFIXES, iri
-from graphloom.operators import solutions
+from graphloom.operators import paths, solutions
 from graphloom.operators.closure import edges_of, reach
 from graphloom.workspace import written
 
@@ -130,9 +130,15 @@ class TripleStore:
         return (out if any else out.where("value = most")).select("s", "value")
 
     def match(self, *patterns: tuple) -> solutions.Solutions:
-        """Solutions of a basic graph pattern; parts that start with ``?`` are variables."""
-        own = [tuple(x if isinstance(x, str) and x.startswith("?") else self.term(x) for x in t) for t in patterns]
-        return solutions.match(self.df, *own)
+        """Solutions of a basic graph pattern; parts that start with ``?`` are variables, a predicate may be a path (whose predicates are IRIs)."""
+        kept = lambda x: isinstance(x, paths.Path) or isinstance(x, str) and x.startswith("?")
+        own = [tuple(x if kept(x) else self.term(x) for x in t) for t in patterns]
+        plain = [t for t in own if not isinstance(t[1], paths.Path)]
+        out = solutions.match(self.df, *plain) if plain else None
+        for s, path, o in (t for t in own if isinstance(t[1], paths.Path)):
+            more = paths.solutions(self.df, s, path, o)
+            out = more if out is None else out.join(more)
+        return out
 
     def describe(self, resources: DataFrame | str) -> DataFrame:
         """Triples of some resources (column s) and, through blank nodes, of what hangs below them."""

@@ -470,7 +470,8 @@ QUERIES["q00_flagship"] = flagship
 ORACLES["q00_flagship"] = "SELECT r_name AS region, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
 
 
-from graphloom.plans import described_queries  # noqa: E402
+from graphloom.plans import described_queries, graph_queries  # noqa: E402
 
-QUERIES |= described_queries.QUERIES
-ORACLES |= described_queries.ORACLES
+for module in (described_queries, graph_queries):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES

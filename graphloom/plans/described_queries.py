@@ -8,6 +8,7 @@ from graphloom.functions import names, terms, units
 from graphloom.operators import described, quantities, restrictions, routes, store
 from graphloom.operators.closure import edges_of, path_pairs
 from graphloom.operators.lift import Lifted
+from graphloom.operators.route_counts import route_counts
 
 X = "http://example.com"
 QUERIES: dict = {}
@@ -93,8 +94,8 @@ def q63_route_counts(spark, sf):
     g = Lifted(spark, sf)
     up = g.star("customer", "a", b="c_nationkey").select("a", "b").unionByName(g.star("nation", "a", b="n_regionkey").select("a", "b"))
     steps = up.select(F.col("b").alias("output"), F.col("a").alias("step"), F.lit("mapsTo").alias("kind"), F.col("a").alias("input"), F.lit(0).alias("position"), F.lit(2.0).alias("cost"))
-    out = described.route_counts(steps, g.star("customer", "node").select("node"), 2)
-    return out.where(F.col("node").startswith(f"{X}/region/"))
+    out = route_counts(steps, g.star("customer", "node").select("node"), g.star("region", "node").select("node"))
+    return out.where("routes > 0").select("node", F.col("routes").cast("double").alias("routes"))
 
 
 @query(f"""SELECT '{X}/customer/' || c_custkey AS s, '{routes.MAPS_TO}' AS p, '{X}/nation/' || c_nationkey AS o FROM customer
