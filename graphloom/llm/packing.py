@@ -39,6 +39,8 @@ END = 1
 CAPACITY = 2048
 #: Tokens of a sequence that may stay empty so that a piece need not be cut.
 SLACK = 32
+#: Chunks of text whose ids a worker remembers (some 150 bytes each).
+MEMO_CHUNKS = 1_200_000
 #: Bytes of ids in one batch of sequences.
 BATCH_BYTES = 4_000_000
 SEQUENCES = "part int, number long, width int, doc_ids array<bigint>, starts array<bigint>, lengths array<int>, doc_tokens array<bigint>, ids binary"
@@ -100,7 +102,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, capacity: int = CAPACITY,
     """Encode every text, append the end id, pack, and write the sequences."""
 
     def run(batches):
-        codec, part, bins, number = bpe.codec(tokenizer), TaskContext.get().partitionId(), Bins(capacity, slack), 0
+        codec, part, bins, number = bpe.codec(tokenizer, MEMO_CHUNKS), TaskContext.get().partitionId(), Bins(capacity, slack), 0
         width = 2 if max(codec.vocabulary.size, end + 1) <= 1 << 16 else 4
 
         def batch_of(made):
