@@ -15,10 +15,10 @@ base depth and dense ones go as deep as they must.
 
 Documents that look similar end in one coarse cluster, so the clusters are a superset of all true links.
 Each is then settled on the full sets. A cluster that fits one task (``BLOCK`` members and ``SHINGLES``
-shingles) is settled there. A larger one is dealt to tasks by size and settled in rounds: some members
-are compared with all others on their full sets, which tells all their links; only members outside the
-cluster's largest component are asked in later rounds, until none is left that has not been asked. A link
-that is not known then lies within the largest component. No pairs of a group are listed.
+shingles) is settled there. A larger one is settled by a prefix-filter join: a set's shingles are ordered by how
+rare they are in the cluster, linked sets share some of their rarest, and pairs that share as many as a link needs are
+compared on the full sets. What shingles many members share is first tied together by a few of them, so near copies of one text are
+not listed as pairs; only members that still lie in different components meet in the end.
 
 Chance of missing a link of similarity s: (1 - s**DEPTH)**TREES, 1e-7 at 0.8 and far less above. Shingles
 are compared by 64-bit hashes of their words' hashes, which are taken eight bytes at a time through a
@@ -57,8 +57,8 @@ BLOCK, SHINGLES = 4000, 4_000_000
 #: and leaves, and at which it is linked with it. A document similar to one that left is within 0.37 + 0.2 of
 #: the pivot, four standard deviations allowed, and 0.3 lies another four below that.
 PIVOTS, CLOSE, FAR = 32, 0.75, 0.3
-#: Members of a large cluster that are compared with all others in the first round, and in later ones.
-FIRST, NEXT = 8, 64
+#: Members of a large cluster's most common rare shingle that are compared with the others in the first round.
+PIVOT_ROWS = 8
 #: At most so many cluster members (some 40 bytes each) are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_MEMBERS = 1_000_000
 _VALUES = TREES * DEPTH
@@ -326,67 +326,72 @@ def _exact(words: int, percent: int):
     return run
 
 
-def _with_pivots(words: int, percent: int):
-    """Links of members of large clusters with their cluster's pivots; rows are component, part, place, doc_id, text."""
+def _shingle_lists(words: int):
+    """The sets of large clusters; rows are component, doc_id, text."""
 
     def run(batches):
-        key, names, sets = None, [], []
-
-        def compare(rows):
-            for part in pieces(pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "text"])):
-                ids, own = part.column(0).to_pylist(), _Sets(part.column(1), words, percent)
-                everyone = np.arange(len(ids))
-                yield _links([(ids[j], name) for name, other in zip(names, sets, strict=True) for j in np.flatnonzero(own.linked(other, everyone)) if ids[j] != name])
-
         for batch in batches:
-            held = []
-            for component, part, place, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (component, part) != key:
-                    if held:
-                        yield from compare(held)
-                    key, names, sets, held = (component, part), [], [], []
-                if place == 0:
-                    names.append(doc)
-                    sets.append(shingles(pa.array([text], pa.string()), words)[1])
-                else:
-                    held.append((doc, text))
-            if held:
-                yield from compare(held)
+            for piece in pieces(batch, 2):
+                row, value = shingles(piece.column(2), words)
+                sizes = np.bincount(row, minlength=piece.num_rows)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.record_batch([piece.column(0), piece.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))], ["component", "doc_id", "n", "shingles"])
 
     return run
 
 
-def _settled(large: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Links (a, b) that connect the large clusters' members as their full sets do.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """component, token, key, doc_id, n and size of prefix for the rarest shingles of every set, without those that no other set of the cluster has.
 
-    ``large`` has component, doc_id, n_shingles and text, ``sizes`` component, n and shingles. Whoever has been
-    a pivot has all its links; of two members that have not, at least one is in the largest component.
+    Two linked sets share at least one shingle of their prefixes, which are as long as the shingles that a set may lack in
+    a smaller partner, and one more.
     """
-    parts = sizes.select("component", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / SHINGLES)).cast("int").alias("parts"))
-    names = large.select("component", "doc_id", "n_shingles")
-    links, asked, k = None, None, FIRST
-    while True:
-        minor = names
-        if links is not None:
-            own = names.join(materialise(connected(links), "joined").select(F.col("node").alias("doc_id"), F.col("component").alias("own")), "doc_id", "left")
-            own = materialise(own.withColumn("own", F.coalesce("own", "doc_id")), "own-components")
-            most = own.groupBy("component", "own").agg(F.count(F.lit(1)).alias("m")).groupBy("component").agg(F.max(F.struct("m", "own")).alias("most"))
-            minor = own.join(most, "component").where("own <> most.own").join(asked, "doc_id", "left_anti").select("component", "doc_id", "n_shingles")
-        minor = materialise(minor, "minor")
-        waiting = minor.groupBy("component").agg(F.count(F.lit(1)).alias("waiting"))
-        pivots = _few(minor.join(waiting, "component"), "component", "waiting", k)
-        # as many as one task can hold beside the members it streams, one at least
-        room = F.sum("n_shingles").over(Window.partitionBy("component").orderBy("n_shingles", "doc_id")) - F.col("n_shingles")
-        pivots = materialise(pivots.withColumn("before", room).where(F.col("before") <= SHINGLES).select("component", "doc_id"), "pivots")
-        if pivots.isEmpty():
-            return links
-        busy = large.join(pivots.select("component").distinct(), "component", "left_semi").select("component", "doc_id", "text")
-        leaders = busy.join(pivots, ["component", "doc_id"], "left_semi")
-        new = materialise(_dealt(busy, "component", leaders, parts).mapInArrow(_with_pivots(words, percent), LINKS), "pivot-links")
-        links = new if links is None else links.unionByName(new)
-        pivots = pivots.select("doc_id")
-        asked = pivots if asked is None else asked.unionByName(pivots)
-        k = NEXT
+    posted = sets.select("component", "key", "doc_id", "n", F.explode("shingles").alias("token"))
+    held = posted.groupBy("component", "token").agg(F.count(F.lit(1)).alias("held"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ranked = posted.join(held, ["component", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("held", "token")))
+    return ranked.withColumn("first", first).where("rank <= first AND held > 1").select("component", "token", "key", "doc_id", "n", "first")
+
+
+def _settled(large: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect the large clusters' members as their full sets do; ``large`` has component, doc_id and text.
+
+    A prefix-filter join: members meet where they share a rare shingle, and whoever shares as many as links need is compared
+    on the full sets. Before all such pairs are made, a few members (some ``PIVOT_ROWS`` of the most common shingle, then eight times
+    as many, and so on up to all) are compared with the rest, and only shingles that still lie in several components go on. A
+    tight group of any size is thus tied together by a few members, and whatever is not is compared in full.
+    """
+    sets = large.select("component", "doc_id", "text").mapInArrow(_shingle_lists(words), "component long, doc_id long, n long, shingles array<bigint>")
+    # rows of one id with unlike texts are sets of their own
+    sets = materialise(sets.withColumn("key", F.xxhash64("doc_id", F.xxhash64("shingles"))).dropDuplicates(["key"]), "cluster-sets")
+    prefixes = materialise(_prefixes(sets, percent), "prefixes")
+    most = prefixes.groupBy("component", "token").count().agg(F.max("count")).first()[0]
+    links = sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false")
+    share = min(1.0, PIVOT_ROWS / most) if most else 0.0
+    rows = prefixes.withColumn("own", F.col("doc_id"))
+    while share:
+        pivot = F.xxhash64("key", F.lit(7)) <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+        rows = rows.withColumn("pivot", pivot)
+        sides = [rows.select("component", "token", *[F.col(c).alias(c + x) for c in ("key", "doc_id", "n", "first", "own", "pivot")]) for x in "ab"]
+        fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+        once = ~F.col("pivotb") | (F.col("keya") < F.col("keyb"))
+        met = sides[0].where("pivota").join(sides[1], ["component", "token"]).where(fits & once & (F.col("owna") != F.col("ownb")))
+        least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+        need = F.least(F.col("firsta") - F.col("na"), F.col("firstb") - F.col("nb")) + least
+        pairs = met.groupBy("keya", "keyb", "doc_ida", "doc_idb", "na", "nb", need.alias("need")).agg(F.count(F.lit(1)).alias("have")).where("have >= need")
+        whole = pairs.join(sets.select(F.col("key").alias("keya"), F.col("shingles").alias("sa")), "keya").join(sets.select(F.col("key").alias("keyb"), F.col("shingles").alias("sb")), "keyb")
+        both = F.size(F.array_intersect("sa", "sb"))
+        links = links.unionByName(materialise(whole.where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")), "prefix-links"))
+        if share >= 1:
+            break
+        share = min(1.0, share * 8)
+        joined = materialise(connected(links), "joined").select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
+        rows = prefixes.join(joined, "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
+        mixed = rows.groupBy("component", "token").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("component", "token")
+        rows = materialise(rows.join(mixed, ["component", "token"], "left_semi"), "open-prefixes")
+        if rows.isEmpty():
+            break
+    return links
 
 
 def components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
@@ -411,7 +416,7 @@ def components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     found = texts.where("NOT large").select("component", "doc_id", "text").repartition("component").sortWithinPartitions("component", "doc_id").mapInArrow(_exact(words, percent), LINKS)
     if not sizes.where(is_large).isEmpty():
         large = materialise(texts.where("large").drop("large"), "large-clusters")
-        found = found.unionByName(_settled(large, sizes.where(is_large), words, percent))
+        found = found.unionByName(_settled(large, words, percent))
     exact = materialise(connected(found), "components")
     of_class = classes.join(exact.withColumnRenamed("node", "first"), "first", "left").select(*same, F.coalesce("component", "first").alias("component"))
     out = sketch.select("doc_id", *same).join(of_class, same, "left")

@@ -63,12 +63,54 @@ def test_documents(documents):
 
 
 def test_dense_regions_and_large_clusters(docs_of, monkeypatch):
-    for name, value in (("BLOCK", 5), ("PIVOTS", 3), ("FIRST", 3), ("NEXT", 9), ("BROADCAST_MEMBERS", -1)):
+    for name, value in (("BLOCK", 5), ("PIVOTS", 3), ("PIVOT_ROWS", 1), ("BROADCAST_MEMBERS", -1)):
         monkeypatch.setattr(md, name, value)
     own = texts()
     assert result(docs_of(own)) == brute(list(enumerate(own)))
 
 
+def look_alikes(pairs, copies=1):
+    """Pages that share most of their words: pairs are 0.98 similar, pages of different pairs 0.77."""
+    rnd = random.Random(6)
+    frame = [f"frame{i}" for i in range(280)]
+    out = []
+    for k in range(pairs):
+        own = frame + [f"own{k}x{i}" for i in range(42)]
+        out.append(" ".join(own))
+        for c in range(copies):
+            other = list(own)
+            other[-1 - rnd.randrange(30)] = f"other{k}x{c}"
+            out.append(" ".join(other))
+    rnd.shuffle(out)
+    return out
+
+
+def test_look_alike_pages_beyond_one_task(docs_of, monkeypatch):
+    # with the operator's own BLOCK, 2,100 pairs take some three minutes here
+    monkeypatch.setattr(md, "BLOCK", 400)
+    own = look_alikes(300)
+    got = result(docs_of(own))
+    by_component = {}
+    for i, (_, component, _) in got.items():
+        by_component.setdefault(component, []).append(i)
+    pair = {}
+    for i, t in enumerate(own):
+        pair.setdefault(t.split()[285].split("x")[0], []).append(i)
+    assert sorted(map(sorted, by_component.values())) == sorted(pair.values()) and len(by_component) == 300
+
+
+def test_large_clusters_with_tight_groups_and_chains(docs_of, monkeypatch):
+    for name, value in (("BLOCK", 20), ("PIVOT_ROWS", 1)):
+        monkeypatch.setattr(md, name, value)
+    own = look_alikes(12, 9) + look_alikes(3, 60)
+    # a chain: each is like the next, the ends are not alike
+    words = look_alikes(1)[0].split()
+    for i in range(40):
+        words[7 * i % 280] = f"turn{i}"
+        own.append(" ".join(words))
+    assert result(docs_of(own)) == brute(list(enumerate(own)))
+
+
 def test_clusters_are_dealt_by_size_of_their_texts(docs_of, monkeypatch):
     monkeypatch.setattr(md, "SHINGLES", 60)
     own = texts()
