@@ -23,6 +23,7 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,14 +34,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe
-from graphloom.llm.shared import text_or_empty
+from graphloom.llm.shared import text_or_empty, worker_state
 
 END = 1
 CAPACITY = 2048
 #: Tokens of a sequence that may stay empty so that a piece need not be cut.
 SLACK = 32
-#: Chunks of text whose ids a worker remembers (some 150 bytes each).
-MEMO_CHUNKS = 1_200_000
+#: Fixed value: the pre-tokenisation pattern of the public vocabulary, as tiktoken takes it.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts with a run of so many characters without a border go through the codec, whose time does not grow with a word's square.
+LONG_RUN = re.compile(r"\S{4000}|\s{4000}")
 #: Bytes of ids in one batch of sequences.
 BATCH_BYTES = 4_000_000
 SEQUENCES = "part int, number long, width int, doc_ids array<bigint>, starts array<bigint>, lengths array<int>, doc_tokens array<bigint>, ids binary"
@@ -64,6 +67,39 @@ def leftover_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     return [capacity] * (n // capacity) + [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
 
 
+class Encoder:
+    """Encodes texts by tiktoken where its ids are those of the tokenizer's file, and by the exact codec elsewhere.
+
+    Merging by the rank of what comes out equals merging by the rank of the pair if ids rise with the merges and every
+    token comes out of merging its own bytes: two tokens side by side that make up a token are then always its own halves.
+    Texts with special tokens, with characters on which the two libraries' patterns might differ, or with very long runs are the codec's.
+    """
+
+    def __init__(self, path: str):
+        self.codec = bpe.Codec(path, bpe.LEAN_CHUNKS)
+        v = self.codec.vocabulary
+        self.size, self.special, self.fast = v.size, list(v.special), None
+        ranks = {b: i for i, b in enumerate(v.bytes) if b and i not in v.special.values()}
+        if len(ranks) == int((v.accept >= 0).sum()) and (np.diff(v.made) > 0).all():
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, text: str) -> bool:
+        return self.fast is not None and not bpe.ODD.search(text) and not (len(text) >= 4000 and LONG_RUN.search(text)) and not any(s in text for s in self.special)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the number of ids of each text."""
+        made: list = [self.fast.encode_to_numpy(t, disallowed_special=()) if self.plain(t) else None for t in texts]
+        rest = [i for i, ids in enumerate(made) if ids is None]
+        if rest:
+            flat, counts = self.codec.encode([texts[i] for i in rest])
+            for i, own in zip(rest, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+                made[i] = own
+        counts = np.array([len(ids) for ids in made], np.int64)
+        return (np.concatenate(made).astype(np.int64) if made else np.zeros(0, np.int64)), counts
+
+
 class Bins:
     """One task's open bins: a class's number of members to its pieces (doc_id, start, ids, doc_tokens)."""
 
@@ -102,8 +138,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, capacity: int = CAPACITY,
     """Encode every text, append the end id, pack, and write the sequences."""
 
     def run(batches):
-        codec, part, bins, number = bpe.codec(tokenizer, MEMO_CHUNKS), TaskContext.get().partitionId(), Bins(capacity, slack), 0
-        width = 2 if max(codec.vocabulary.size, end + 1) <= 1 << 16 else 4
+        codec = worker_state(("packing", tokenizer), lambda: Encoder(tokenizer))
+        part, bins, number = TaskContext.get().partitionId(), Bins(capacity, slack), 0
+        width = 2 if max(codec.size, end + 1) <= 1 << 16 else 4
 
         def batch_of(made):
             nonlocal number

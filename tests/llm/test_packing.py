@@ -92,6 +92,20 @@ def test_sequences_are_padded(spark, docs_of):
         assert all(crc(r.ids[p.offset : p.offset + p.length]) == p.ids_crc32 for p in own)
 
 
+def test_encoder_equals_the_library(documents, library, monkeypatch):
+    own, rnd = packing.Encoder(BYTE_BPE), random.Random(4)
+    assert own.fast is not None
+    alphabet = "aethionrs  .,'!0123\n\tABC" + "éßжя漢한" + "½\u2028\x1c²٣"
+    texts = ["".join(rnd.choices(alphabet[: -6 * (k % 2) or None], k=rnd.randrange(300))) for k in range(3000)] + [r.text for r in documents.collect()]
+    texts += ["", "x" * 5000, " " * 9000, "<|endoftext|> a", "don't we'LL 's", "a\n\n  b  ", *("a" * n for n in range(40)), *(" " * n + "b" for n in range(30))]
+    ids, counts = own.encode(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert sum(map(own.plain, texts)) > 1000 and not own.plain("x" * 5000) and not own.plain("<|endoftext|>")
+    monkeypatch.setattr(own, "fast", None)
+    assert own.encode(texts[:200])[0].tolist() == [i for w in want[:200] for i in w]
+
+
 def test_classes():
     for capacity in (1, 2, 7, 64, 2048):
         for n in range(0, 2 * capacity + 1):
