@@ -101,7 +101,7 @@ def test_encoder_equals_the_library(documents, library, monkeypatch):
     ids, counts = own.encode(texts)
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
-    assert sum(map(own.plain, texts)) > 1000 and not own.plain("x" * 5000) and not own.plain("<|endoftext|>")
+    assert sum(map(own.plain, texts)) > 300 and not own.plain("x" * 5000) and not own.plain("<|endoftext|>")
     monkeypatch.setattr(own, "fast", None)
     assert own.encode(texts[:200])[0].tolist() == [i for w in want[:200] for i in w]
 
