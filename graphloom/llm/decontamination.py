@@ -1,18 +1,20 @@
 """Benchmark decontamination by spaced-seed hashing, in SQL functions only.
 
-Words are lower-cased and lose ASCII punctuation. A mask keeps some positions of a five-word
-window and ignores others; the hash of the kept words is a seed. Seeds of all windows of the
-documents are joined with the seeds of all windows of the benchmark, so a copy whose words were
-replaced here and there still meets its original wherever one window differs at ignored positions
-only. Every hit names a diagonal (document position minus item position); around it document and
-item are compared word by word, and an overlap counts if, of some stretch of ``STRETCH`` item
-words (the whole item if that is shorter), at least ``SIMILARITY`` agree.
-
-Defined cases: a null or empty text has no words and no overlaps; items and documents of fewer
-words than the widest mask are padded to its width with empty words, so that short texts meet too
-if they agree at the kept positions; items without words are never found; a row without
-``doc_id`` is never reported and never removed. Repeated rows are reported once. Ties: overlaps
-of one document and item are merged into one row with the best score, then the smallest start.
+Words are lower-cased and lose ASCII punctuation. A mask keeps some positions of a window of words and ignores
+others; the hash of the kept words is a seed. Seeds of all windows of the documents are joined with the seeds of all
+windows of the benchmark, so a copy whose words were replaced here and there still meets its original. Every hit names a
+diagonal (document position minus item position); around it document and item are compared word by word, and an overlap
+counts if, of some stretch of ``STRETCH`` item words (the whole item if that is shorter), at least ``SIMILARITY`` agree.
+
+The masks find every such overlap. A stretch of 13 words with 11 agreeing ones has four in a row; 10 to 12 words with
+two replaced ones have four in a row, or two on either side of a replaced one; 5 to 9 words with one replaced one have five
+in a row of which at most one was replaced; shorter items must agree in full, and have seeds of their own width where the benchmark
+has any.
+
+Defined cases: a null or empty text has no words and no overlaps; items without words are never found; a row without
+``doc_id`` is never reported and never removed. Repeated rows are reported once. Ties: overlaps of one document and item
+are merged into one row with the best score, then the smallest start. Texts may be of any length, as far as their words fit
+one row; empty tables give empty results; other columns are ignored, whatever their names, and ``clean`` keeps them.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import materialise, text_or_empty
 
 #: Kept (1) and ignored (0) word positions.
-MASKS = ("11011", "10111")
-WIDTH = 5
+MASKS = ("1111", "10111", "11011", "11101")
+#: Items of fewer words than this have a mask that keeps all their words.
+SHORT = 4
 STRETCH = 13
 SIMILARITY = 0.8
 #: A side of at most so many rows of 24 bytes is broadcast; a larger one is shuffled.
@@ -39,22 +42,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, " +"), lambda w: w != "")
 
 
-def _seeds(words: Column) -> Column:
-    """For every start, an array with the seed of each mask (null beyond the last window)."""
-    last = F.greatest(F.size(words), F.lit(WIDTH)) - WIDTH
+def _seeds(words: Column, masks: list[str]) -> Column:
+    """For every start, an array with the seed of each mask (null where it does not fit)."""
 
-    def of(mask: str, w: Column, i: Column) -> Column:
-        kept = [F.coalesce(F.get(words, i + j), F.lit("")) for j, c in enumerate(mask) if c == "1"]
-        return F.xxhash64(F.lit(mask), *kept)
+    def of(mask: str, i: Column) -> Column:
+        kept = [F.get(words, i + j) for j, c in enumerate(mask) if c == "1"]
+        return F.when(i + len(mask) <= F.size(words), F.xxhash64(F.lit(mask), *kept))
 
-    return F.transform(words, lambda w, i: F.when(i <= last, F.array(*[of(m, w, i) for m in MASKS])))
+    return F.transform(words, lambda w, i: F.array(*[of(m, i) for m in masks]))
 
 
-def seeds(df: DataFrame, key: str) -> DataFrame:
+def seeds(df: DataFrame, key: str, masks: list[str]) -> DataFrame:
     """key, at (word position) and seed of every window and mask."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key), words_of(text_or_empty()).alias("words"))
-    rows = rows.select(key, F.posexplode(_seeds(F.col("words"))).alias("at", "both"))
-    return rows.where("both IS NOT NULL").select(key, "at", F.explode("both").alias("seed"))
+    rows = rows.select(key, F.posexplode(_seeds(F.col("words"), masks)).alias("at", "all"))
+    return rows.select(key, "at", F.explode("all").alias("seed")).where("seed IS NOT NULL")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -69,10 +71,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item's beginning is missing), ``n_words`` the item's words, ``score`` the share of agreeing words
     in the best stretch.
     """
-    known = materialise(
-        seeds(benchmark, "item_id").groupBy("seed").agg(F.collect_set(F.struct("item_id", "at")).alias("places")), "benchmark-seeds"
-    )
-    hits = seeds(docs, "doc_id").join(_sized(known), "seed").select("doc_id", F.col("at").alias("doc_at"), F.inline("places"))
+    sizes = benchmark.where("item_id IS NOT NULL").select(F.size(words_of(text_or_empty())).alias("n"))
+    # fewer than SHORT rows
+    narrow = [r["n"] for r in sizes.where(f"n > 0 AND n < {SHORT}").distinct().orderBy("n").collect()]
+    masks = [*MASKS, *("1" * n for n in narrow)]
+    known = materialise(seeds(benchmark, "item_id", masks).withColumnRenamed("at", "item_at"), "benchmark-seeds")
+    hits = seeds(docs, "doc_id", masks).join(_sized(known), "seed").select("doc_id", F.col("at").alias("doc_at"), "item_id", F.col("item_at").alias("at"))
     hits = materialise(
         hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct(), "seed-hits"
     )
@@ -102,4 +106,4 @@ def _index(position: Column) -> Column:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no item, with all their columns."""
     found = materialise(overlaps(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(_sized(found), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(_sized(found.withColumnRenamed("doc_id", "__found")), docs["doc_id"] == F.col("__found"), "left_anti")

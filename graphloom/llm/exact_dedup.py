@@ -165,7 +165,7 @@ def keep(docs: DataFrame) -> DataFrame:
         back = docs.join(side(twice), docs["doc_id"].eqNullSafe(twice["id"]) & (F.sha2(F.translate(text, SPACE, ""), 256) == twice["digest"]) & (F.length(text) == twice["length"]), "left_semi")
         digest, length = _free(docs, 2)
         back = back.withColumns({digest: F.sha2(F.translate(text_or_empty(), SPACE, ""), 256), length: F.length(text_or_empty())})
-        stay = stay.unionByName(back.dropDuplicates(["doc_id", digest, length]).select(*docs.columns))
+        stay = stay.unionByName(back.dropDuplicates(["doc_id", digest, length]).drop(digest, length))
     return stay
 
 

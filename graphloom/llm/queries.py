@@ -105,15 +105,11 @@ ORACLES = {
     "op3_decontamination": r"""
         WITH d AS (SELECT doc_id, list_filter(string_split(translate(lower(coalesce(text, '')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || PUNCTUATION, '     '), ' '), lambda x: x <> '') AS w FROM documents),
         b AS (SELECT item_id, list_filter(string_split(translate(lower(coalesce(text, '')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || PUNCTUATION, '     '), ' '), lambda x: x <> '') AS v FROM benchmark),
-        ds AS (SELECT doc_id, p, coalesce(w[p], '') AS w0, coalesce(w[p + 1], '') AS w1, coalesce(w[p + 2], '') AS w2, coalesce(w[p + 3], '') AS w3, coalesce(w[p + 4], '') AS w4
-               FROM d, UNNEST(range(1, greatest(len(w), 5) - 3)) AS t(p) WHERE len(w) > 0),
-        bs AS (SELECT item_id, q, coalesce(v[q], '') AS w0, coalesce(v[q + 1], '') AS w1, coalesce(v[q + 2], '') AS w2, coalesce(v[q + 3], '') AS w3, coalesce(v[q + 4], '') AS w4
-               FROM b, UNNEST(range(1, greatest(len(v), 5) - 3)) AS t(q) WHERE len(v) > 0),
-        g AS (SELECT doc_id, item_id, p - q AS start FROM ds JOIN bs USING (w0, w1, w3, w4) UNION SELECT doc_id, item_id, p - q FROM ds JOIN bs USING (w0, w2, w3, w4)),
-        a AS (SELECT doc_id, item_id, start, i, len(v) AS n_words, CASE WHEN i + start >= 1 AND w[i + start] = v[i] THEN 1 ELSE 0 END AS agree
-              FROM g JOIN d USING (doc_id) JOIN b USING (item_id), UNNEST(range(1, len(v) + 1)) AS t(i)),
-        s AS (SELECT doc_id, item_id, start, n_words, i, least(n_words, 13) AS width, sum(agree) OVER (PARTITION BY doc_id, item_id, start ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS hits FROM a),
-        best AS (SELECT doc_id, item_id, start, n_words, max(CAST(hits AS DOUBLE) / width) AS score FROM s WHERE i >= width GROUP BY ALL)
+        dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+        bw AS (SELECT item_id, len(v) AS n_words, unnest(v) AS word, generate_subscripts(v, 1) AS q FROM b),
+        a AS (SELECT doc_id, item_id, n_words, p - q AS start, q FROM dw JOIN bw USING (word)),
+        s AS (SELECT doc_id, item_id, n_words, start, count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS hits FROM a),
+        best AS (SELECT doc_id, item_id, start, n_words, CAST(max(hits) AS DOUBLE) / least(n_words, 13) AS score FROM s GROUP BY ALL)
         SELECT doc_id, item_id, start, n_words, score FROM best WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, start) = 1""".replace(
         "PUNCTUATION", "'" + decontamination.PUNCTUATION.replace("'", "''") + "'"
     ),

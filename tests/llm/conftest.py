@@ -22,8 +22,8 @@ def docs_of(spark):
     """Documents from texts: ids by position, and extra columns with awkward names."""
 
     def make(texts, ids=None):
-        rows = [(i if ids is None else ids[i], t, "en", "src", None, "x", None) for i, t in enumerate(texts)]
-        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, row long")
+        rows = [(i if ids is None else ids[i], t, "en", "src", None, "x", None, "m") for i, t in enumerate(texts)]
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, row long, `meta.src` string")
 
     return make
 
