@@ -19,6 +19,8 @@ class Entry:
     inputs: list[str]
     output: str
     cost: float | None = None
+    input_units: list[str | None] | None = None
+    output_unit: str | None = None
 
 
 class Registry:
@@ -27,8 +29,9 @@ class Registry:
     def __init__(self, allowed_modules: tuple[str, ...] = ()):
         self.allowed, self.entries = allowed_modules, {}
 
-    def add(self, iri: str, call: Callable[..., Column], inputs: list[str], output: str, cost: float | None = None) -> str:
-        self.entries[iri] = Entry(call, list(inputs), output, cost)
+    def add(self, iri: str, call: Callable[..., Column], inputs: list[str], output: str, cost: float | None = None, input_units: list[str | None] | None = None, output_unit: str | None = None) -> str:
+        """Register a function on columns; units say in which unit it takes its inputs and gives its output (None: as a plain number)."""
+        self.entries[iri] = Entry(call, list(inputs), output, cost, input_units, output_unit)
         return iri
 
     def add_from(self, iri: str, module: str, name: str, inputs: list[str], output: str, cost: float | None = None) -> str:

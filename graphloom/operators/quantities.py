@@ -87,7 +87,8 @@ def find_unit(names: DataFrame, table: DataFrame, name: str = "unit") -> DataFra
     case; of several the one with the least IRI.
     """
     kinds = [F.array("iri"), F.array("name"), F.col("aliases"), F.col("symbols"), F.col("codes"), F.transform(F.array("name"), F.lower)]
-    keys = F.flatten(F.array(*[F.transform(k, lambda x, i=i: F.struct(F.lit(i).alias("rank"), x.alias("key"))) for i, k in enumerate(kinds)]))
+    ranked = lambda k, i: F.transform(k, lambda x: F.struct(F.lit(i).alias("rank"), x.alias("key")))
+    keys = F.flatten(F.array(*[ranked(k, i) for i, k in enumerate(kinds)]))
     flat = table.select("iri", F.inline(keys)).where("key IS NOT NULL")
     best = flat.groupBy("rank", "key").agg(F.min("iri").alias("iri"))
     asked = names.select(F.col(name).alias("asked")).distinct()
@@ -99,26 +100,30 @@ def find_unit(names: DataFrame, table: DataFrame, name: str = "unit") -> DataFra
 
 #: Decimal prefixes of unit names.
 FACTORS = {"Quetta": 1e30, "Ronna": 1e27, "Yotta": 1e24, "Zetta": 1e21, "Exa": 1e18, "Peta": 1e15, "Tera": 1e12, "Giga": 1e9, "Mega": 1e6, "Kilo": 1e3, "Hecto": 1e2, "Deca": 1e1, "Deci": 1e-1, "Centi": 1e-2, "Milli": 1e-3, "Micro": 1e-6, "Nano": 1e-9, "Pico": 1e-12, "Femto": 1e-15, "Atto": 1e-18, "Zepto": 1e-21, "Yocto": 1e-24, "Ronto": 1e-27, "Quecto": 1e-30}
-#: Words for powers in unit names; the first two stand before the unit they raise.
-POWERS = {"Square": 2, "Cubic": 3, "Quartic": 4}
+#: Words for powers in unit names, which stand before the unit they raise.
+POWERS = {"Square": 2, "Cube": 3, "Cubic": 3, "Quartic": 4, "Quintic": 5, "Sextic": 6, "Septic": 7, "Heptic": 7, "Octic": 8, "Nonic": 9}
 
 
 def parse_unit_name(name: Column) -> Column:
-    """A struct of factor and parts (unit, power) of a name in camel case, such as ``KiloGramPerCubicMetre``."""
+    """A struct of factor and parts (unit, power) of a name in camel case, such as ``KiloGramPerCubicMetre``.
+
+    What is no prefix, power, ``Per`` or ``Reciprocal`` counts as a unit; ``UnitRegistry.resolve`` asks a table instead.
+    """
     words = F.regexp_extract_all(name, F.lit("[A-Z][a-z0-9]*"), F.lit(0))
     table = F.create_map(*[x for k, v in FACTORS.items() for x in (F.lit(k), F.lit(v))])
     powers = F.create_map(*[x for k, v in POWERS.items() for x in (F.lit(k), F.lit(v))])
     start = F.struct(F.lit(1.0).alias("factor"), F.lit(1).alias("sign"), F.lit(1).alias("power"), F.array().cast("array<struct<unit:string,power:int>>").alias("parts"))
 
     def step(acc: Column, w: Column) -> Column:
-        sign = F.when(w == "Per", F.lit(-1)).otherwise(acc["sign"])
+        inverse = w.isin("Per", "Reciprocal")
+        sign = F.when(inverse, F.lit(-1)).otherwise(acc["sign"])
         raised = powers[w]
         is_prefix = table[w].isNotNull()
-        unit = (w != "Per") & raised.isNull() & ~is_prefix
+        unit = ~inverse & raised.isNull() & ~is_prefix
         # a prefix counts as often as the unit that follows is raised
         factor = F.when(is_prefix, acc["factor"] * F.pow(table[w], acc["power"] * sign)).otherwise(acc["factor"])
         parts = F.when(unit, F.concat(acc["parts"], F.array(F.struct(w.alias("unit"), (acc["power"] * sign).cast("int").alias("power"))))).otherwise(acc["parts"])
-        return F.struct(factor.alias("factor"), sign.alias("sign"), F.when(unit, 1).otherwise(F.coalesce(raised, acc["power"])).alias("power"), parts.alias("parts"))
+        return F.struct(factor.alias("factor"), sign.alias("sign"), F.when(unit | inverse, 1).otherwise(F.coalesce(raised, acc["power"])).alias("power"), parts.alias("parts"))
 
     return F.aggregate(words, start, step, lambda acc: F.struct(acc["factor"].alias("factor"), acc["parts"].alias("parts")))
 

@@ -11,9 +11,13 @@ table joins on the key, and its IRI is put together at the end.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.workspace import written
+
 
 class Solutions:
     def __init__(self, df: DataFrame, templates: dict[str, str] | None = None, maybe: set[str] | None = None):
@@ -187,33 +191,39 @@ class Solutions:
 def _product(a: DataFrame, b: DataFrame) -> DataFrame:
     """Every combination of two tables, as pattern semantics ask for where nothing is shared.
 
-    The right side is copied to a fixed number of parts and each left row meets one of them, so the
-    join is an equi-join that adaptive execution broadcasts or shuffles by size.
+    The rows of one side are dealt to the rows of a square grid and those of the other to its columns, and each
+    is copied along its row or column: an equi-join on a grid's cell, with as many cells as there are shuffle partitions and
+    the root of that as copies of a row.
     """
-    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = a.withColumn("__part", F.pmod(F.xxhash64(*a.columns), F.lit(parts)).cast("int"))
-    right = b.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return left.join(right, "__part").drop("__part")
+    side = max(1, math.isqrt(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(side)).cast("int")
+    along = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    left = a.withColumn("__row", dealt(a)).withColumn("__column", along)
+    right = b.withColumn("__column", dealt(b)).withColumn("__row", along)
+    return left.join(right, ["__row", "__column"]).drop("__row", "__column")
 
 
 def _halves(a: DataFrame, right: DataFrame, both: list[str], loose: list[str]):
     """Parts of two sides by which of the loose variables are bound, with the variables to join on.
 
     Each yields (left rows, right rows, variables bound on both sides). A left row is in the parts of
-    one pattern only, so a row's partners are spread over parts without overlap.
+    one pattern only, so a row's partners are spread over parts without overlap. Both sides are written once; only
+    patterns that occur are joined, and right patterns that share the same variables with a left one go together.
     """
     strict = [v for v in both if v not in loose]
 
-    def split(df: DataFrame, names: list[str]):
-        for mask in range(1 << len(loose)):
-            cond = F.lit(True)
-            for i, n in enumerate(names):
-                cond = cond & (F.col(n).isNotNull() if mask >> i & 1 else F.col(n).isNull())
-            yield mask, df.where(cond)
-
-    for m, left_rows in split(a, loose):
-        for n, right_rows in split(right, [f"{v}__r" for v in loose]):
-            yield m, left_rows, right_rows, strict + [v for i, v in enumerate(loose) if m & n & 1 << i]
+    def masked(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[int]]:
+        mask = sum((F.when(F.col(n).isNotNull(), 1 << i).otherwise(0) for i, n in enumerate(names)), F.lit(0))
+        df = written(df.withColumn("__mask", mask), "masked")
+        # as many rows as there are patterns
+        return df, sorted(r[0] for r in df.select("__mask").distinct().collect())
+
+    left, left_masks = masked(a, loose)
+    right, right_masks = masked(right, [f"{v}__r" for v in loose])
+    for m in left_masks or [0]:
+        for shared in sorted({m & n for n in right_masks} or {0}):
+            near = right.where(F.col("__mask").bitwiseAND(F.lit(m)) == shared).drop("__mask")
+            yield m, left.where(F.col("__mask") == m).drop("__mask"), near, strict + [v for i, v in enumerate(loose) if shared >> i & 1]
 
 
 def _equal(keys: list[str]) -> Column:
