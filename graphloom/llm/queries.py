@@ -92,7 +92,23 @@ QUERIES = {
     "op13_importance": op13_importance,
 }
 
+def _rounds(rounds: int) -> str:
+    """SQL of some rounds of clustering: assignments a0, a1, ... and centroids c0, c1, ..."""
+    assign = """a{n} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min({{'d': d, 'k': k}}) AS best FROM (
+            SELECT vec_id, kept.x, k, list_sum(list_transform(list_zip(kept.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{n} c) GROUP BY vec_id)"""
+    move = """s{n} AS (SELECT best.k AS k, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM a{n}),
+        m{n} AS (SELECT k, pos, sum(v)::BIGINT AS s, count(*) AS n FROM s{n} GROUP BY k, pos),
+        c{next} AS MATERIALIZED (SELECT c.k, coalesce(new.x, c.x) AS x FROM c{n} c LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS x FROM m{n} GROUP BY k) new USING (k))"""
+    return ",\n        ".join([*(part.format(n=n, next=n + 1) for n in range(rounds) for part in (assign, move)), assign.format(n=rounds)])
+
+
 ORACLES = {
+    "op12_clustering": f"""
+        WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, x FROM kept QUALIFY k < 16),
+        {_rounds(3)}
+        SELECT vec_id, best.k::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.k)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+        FROM a3 JOIN c3 ON c3.k = best.k""",
     "op2_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         k AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS seq FROM w, UNNEST(range(1, len(words) - 48)) AS t(i) WHERE len(words) >= 50),
