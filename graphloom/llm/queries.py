@@ -103,6 +103,21 @@ def _rounds(rounds: int) -> str:
 
 
 ORACLES = {
+    "op13_importance": r"""
+        WITH RECURSIVE bits(i, j, c) AS (SELECT i, 0, i FROM range(256) x(i) UNION ALL SELECT i, j + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE j < 8),
+        crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE j = 8),
+        texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+        w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+        f AS MATERIALIZED (SELECT side, id, array_to_string(words[i:i + n - 1], ' ') AS feature, count(*) AS n FROM w, range(1, 4) g(n), UNNEST(range(1, len(words) - n + 2)) AS t(i) GROUP BY ALL),
+        h AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM f)),
+        k AS MATERIALIZED (SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(h) // 2 + 1), lambda i: ('0x' || h[2 * i - 1:2 * i])::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM h, crc),
+        s AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t FROM f JOIN k USING (feature) GROUP BY bucket),
+        gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM s),
+        o AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM f JOIN k USING (feature) JOIN gain USING (bucket) WHERE side = 0 GROUP BY id),
+        p AS (SELECT id AS doc_id, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT AS h FROM w LEFT JOIN o USING (id) WHERE side = 0),
+        q AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM p),
+        ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM q WHERE n_words >= 20)
+        SELECT q.doc_id, n_features, weight, score, CASE WHEN place <= floor(5 * n / 100) THEN place END AS rank FROM q LEFT JOIN ranked USING (doc_id)""",
     "op12_clustering": f"""
         WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
         c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, x FROM kept QUALIFY k < 16),
