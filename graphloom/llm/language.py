@@ -355,7 +355,9 @@ def keep(docs: DataFrame) -> DataFrame:
                 langs, scores = own.label([t or "" for t in piece.column(columns.index("text")).to_pylist()])
                 yield piece.filter(pa.array([x != "und" and s >= LEAST_SCORE for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # names with dots would be taken for fields of structs
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
