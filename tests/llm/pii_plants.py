@@ -1,4 +1,8 @@
-"""Planted personal data and noise; shares no generator with what the trees learn from."""
+"""Planted personal data and noise.
+
+Names, hosts, numbers and surroundings are made apart from what the trees learn from; the marks of the
+spellings, and some shapes of the noise, occur among the training forms too.
+"""
 
 import random
 
