@@ -7,7 +7,8 @@ those, go through exact merging. Encoded words are remembered per worker within
 
 Defined cases: a null text counts as empty and has no tokens; the special tokens' strings inside a
 text become special tokens; texts of any length are encoded whole; repeated rows give repeated
-results; columns other than ``doc_id`` and ``text`` are ignored.
+results; an empty table gives an empty result;
+columns other than ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations

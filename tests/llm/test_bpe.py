@@ -114,3 +114,7 @@ def test_very_long_texts_are_encoded_in_parts(monkeypatch):
     flat, counts = own.encode(texts)
     want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+def test_empty_table(docs_of):
+    assert bpe.round_trip(docs_of(["text"]).where("doc_id < 0"), BYTE_BPE).count() == 0
