@@ -20,9 +20,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so its lineage ends there."""
+    """``df`` written to the shared folder and read back, so its lineage ends there.
+
+    The files are plain: Spark takes their size for the table's, and compressed triples many times
+    the broadcast limit would look small enough to be broadcast.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
