@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import terms, units
 from graphloom.functions.names import PREFIXES
 from graphloom.operators.closure import edges_of, reach
+from graphloom.workspace import written
 
 SUB_CLASS = PREFIXES["rdfs"] + "subClassOf"
 TYPE = PREFIXES["rdf"] + "type"
@@ -90,8 +91,9 @@ def find_unit(names: DataFrame, table: DataFrame, name: str = "unit") -> DataFra
     ranked = lambda k, i: F.transform(k, lambda x: F.struct(F.lit(i).alias("rank"), x.alias("key")))
     keys = F.flatten(F.array(*[ranked(k, i) for i, k in enumerate(kinds)]))
     flat = table.select("iri", F.inline(keys)).where("key IS NOT NULL")
-    best = flat.groupBy("rank", "key").agg(F.min("iri").alias("iri"))
-    asked = names.select(F.col(name).alias("asked")).distinct()
+    # written, so that joins know their sizes
+    best = written(flat.groupBy("rank", "key").agg(F.min("iri").alias("iri")), "unit-keys")
+    asked = written(names.select(F.col(name).alias("asked")).distinct(), "asked")
     hits = asked.join(best.where("rank < 5"), F.col("asked") == F.col("key")).select("asked", "rank", "iri")
     hits = hits.unionByName(asked.join(best.where("rank = 5"), F.lower("asked") == F.col("key")).select("asked", "rank", "iri"))
     first = hits.groupBy("asked").agg(F.min(F.struct("rank", "iri")).alias("b")).select("asked", F.col("b.iri").alias("iri"))
@@ -136,7 +138,8 @@ def quantity_triples(rows: DataFrame, vocabulary: Vocabulary = EMMO) -> DataFram
         F.struct(F.lit(v.value).alias("p"), terms.from_native(F.col("value").cast("double"), "double").alias("o")),
         F.struct(F.lit(v.has_unit).alias("p"), F.col("unit").alias("o")),
     )
-    return rows.select(F.col("iri").alias("s"), F.inline(cells)).where("s IS NOT NULL AND o IS NOT NULL")
+    # rows are dealt out before each becomes three: a table may be one row group, which one task would sort alone
+    return rows.repartition("iri").select(F.col("iri").alias("s"), F.inline(cells)).where("s IS NOT NULL AND o IS NOT NULL")
 
 
 def quantities(triples: DataFrame, vocabulary: Vocabulary = EMMO) -> DataFrame:

@@ -35,7 +35,7 @@ def _iri(kind: str, column: str):
 
 def _unit_ontology(spark, sf):
     """Parts as units, brands as the classes between them and the root; sizes give multipliers."""
-    v, part = quantities.EMMO, _read(spark, sf, "part")
+    v, part = quantities.EMMO, _read(spark, sf, "part").repartition("p_partkey")
     cells = [
         (_iri("brand", "p_brand"), quantities.SUB_CLASS, F.lit(v.unit)),
         (_iri("unit", "p_partkey"), quantities.SUB_CLASS, _iri("brand", "p_brand")),
