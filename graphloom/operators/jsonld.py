@@ -200,7 +200,8 @@ def _literal(text: Column, datatype: Column, language: Column) -> Column:
 def triples(docs: DataFrame, context: LdContext, column: str = "doc", unknown: str = "ignore") -> DataFrame:
     """s, p and o of JSON-LD documents (JSON text in ``column``; a document may be an array). Blank nodes are named by content and place."""
     walk = _Walk(docs.sparkSession, context, unknown)
-    parsed = docs.select(F.parse_json(column).alias("d")).where("d IS NOT NULL")
+    # a table of documents may be one row group, which one task would walk alone
+    parsed = docs.repartition(column).select(F.parse_json(column).alias("d")).where("d IS NOT NULL")
     roots = parsed.select(F.explode(_many(F.col("d"))).alias("v"), F.lit(0).alias("scope"))
     level = walk.named(roots, F.lit(""), "s").select("scope", "s", "v")
     out = None
@@ -278,7 +279,7 @@ def _assembled(levels: list[DataFrame], roots: DataFrame, single: bool) -> DataF
 
 
 def _roots(docs: DataFrame, key: str, column: str) -> DataFrame:
-    parsed = docs.select(F.col(key).alias("doc"), F.parse_json(column).alias("d")).where("d IS NOT NULL")
+    parsed = docs.repartition(key).select(F.col(key).alias("doc"), F.parse_json(column).alias("d")).where("d IS NOT NULL")
     rows = parsed.select("doc", F.posexplode(_many(F.col("d"))).alias("place", "v"))
     return rows.select("doc", "place", F.col("place").cast("string").alias("path"), F.lit(0).alias("scope"), "v")
 
