@@ -150,3 +150,14 @@ def test_unseen_spellings_at_full_recall_and_no_noise(spark, docs_of):
     wrong += sum(len(got[len(planted) + i]) for i in range(len(clean)))
     assert all(found[s] >= 0.9 * n[s] for s in n), found
     assert wrong <= 0.02 * sum(found.values())
+
+
+def test_every_value_is_learned_from(docs_of):
+    docs = docs_of([f"host 10.{i // 250}.{i % 250}.7 is up" for i in range(600)])
+    assert pii.examples(docs.select("text")).select("root").distinct().count() == 600
+
+
+def test_training_does_not_depend_on_order(docs_of):
+    rows = [f"mail ann{i}@mail.example.com or call +1 (743) 555-{1000 + i} from 10.0.{i % 300}.7" for i in range(400)]
+    one, two = pii.train(docs_of(rows).repartition(3)), pii.train(docs_of(rows[::-1]).repartition(7))
+    assert (one.trees, one.thresholds) == (two.trees, two.thresholds)
