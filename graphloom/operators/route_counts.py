@@ -56,7 +56,8 @@ def route_counts(steps: DataFrame, sources: DataFrame, targets: DataFrame) -> Da
     states, calls = _states(own, targets)
     alive = calls.join(calls.where("dead").select(*STATE, "step").distinct(), [*STATE, "step"], "left_anti").select(*STATE, "step", "position", "input", "then")
     alive = written(alive, "alive-calls")
-    given = sources.select("node", F.lit(1).cast(COUNT).alias("given")).distinct()
+    # written, so that joins know its size
+    given = written(sources.select("node", F.lit(1).cast(COUNT).alias("given")).distinct(), "given")
     base = written(states.join(given, "node", "left").select(*STATE, F.coalesce("given", F.lit(0).cast(COUNT)).alias("given")), "bases")
     front = written(base.join(alive.select(*STATE).distinct(), STATE, "left_anti").withColumnRenamed("given", "routes"), "counted")
     known = front
