@@ -11,7 +11,7 @@ from graphloom.operators import described, inheritance, jsonld, paths, quantitie
 from graphloom.operators.lift import Lifted
 from graphloom.operators.route_counts import route_counts
 from graphloom.operators.versioned import Databases
-from graphloom.workspace import shared_path
+from graphloom.workspace import shared_path, written
 
 X = "http://example.com"
 QUERIES: dict = {}
@@ -38,6 +38,8 @@ def _changed_database(spark, sf):
     suppliers = lifted.triples("supplier", ["s_nationkey"])
     nations = [r["s"] for r in lifted.triples("nation", ["n_regionkey"]).select("s").distinct().orderBy("s").collect()]
     by_nation = customers.join(customers.where(F.col("o").isin(nations)).select("s", F.col("o").alias("nation")), "s").unionByName(suppliers.withColumn("nation", F.col("o")))
+    # joined once, not for every nation; sorted, so that a nation's rows are few row groups
+    by_nation = written(by_nation.repartitionByRange("nation").sortWithinPartitions("nation"), "by-nation")
     for nation in nations:
         g.add(by_nation.where(F.col("nation") == nation))
     g.remove(None, f"{X}/customer#c_mktsegment", '"MACHINERY"')
