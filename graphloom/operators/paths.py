@@ -176,6 +176,37 @@ def _closure(triples: DataFrame, path: Path, seeds: DataFrame | None) -> DataFra
 
 # -- evaluation ----------------------------------------------------------------------------------
 
+#: Rows that one cell of a join makes, about, and the most cells of a join, about; larger joins have larger cells.
+CELL, CELLS = 1 << 24, 8192
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two parts of a path joined where they meet, at ``__via``.
+
+    Small tables make very many rows where a few nodes have many ends on both sides, and Spark deals out tasks by the size
+    of tables. So the rows to be made are counted first; if they are many for what they are made of, those of each node are
+    dealt to the cells of a grid: a left row goes to all cells of a grid row and a right one to all of a column.
+    """
+    sizes = left.groupBy("__via").agg(F.count(F.lit(1)).cast("double").alias("l")).join(right.groupBy("__via").agg(F.count(F.lit(1)).cast("double").alias("r")), "__via")
+    made = F.col("l") * F.col("r")
+    rows, most, given = sizes.agg(F.sum(made), F.max(made), F.sum(F.col("l") + F.col("r"))).first()
+    if rows is None or rows <= CELL or rows <= 8 * given and most <= 16 * CELL:
+        return left.join(right, "__via")
+    # cells about as wide as high, so that rows are copied least
+    cells = F.ceil(made / max(CELL, rows / CELLS))
+    sizes = sizes.select("__via", cells.alias("cells"), F.least(cells, F.ceil(F.sqrt(cells * F.col("l") / F.col("r")))).alias("high"))
+    sizes = written(sizes.select("__via", F.col("high").cast("int").alias("high"), F.ceil(F.col("cells") / F.col("high")).cast("int").alias("wide")), "path-cells")
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(2 * rows / max(CELL, rows / CELLS)))
+    cell = ["__via", "__row", "__column"]
+
+    def dealt(df: DataFrame, own: str, size: str, along: str, copies: str) -> DataFrame:
+        # by place in written files, so that equal rows are dealt too and a retried task deals alike
+        df = written(df, "path-side").withColumn("__place", F.xxhash64(F.monotonically_increasing_id()))
+        df = df.join(sizes, "__via").withColumn(own, F.pmod("__place", F.col(size)).cast("int"))
+        return df.withColumn(along, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop("__place", "high", "wide").repartition(tasks, *cell)
+
+    return dealt(left, "__row", "high", "__column", "wide").join(dealt(right, "__column", "wide", "__row", "high"), cell)
+
 
 def pairs(triples: DataFrame, path: Path, seeds: DataFrame | None = None) -> DataFrame:
     """source and node of every solution of a path over triples (s, p, o).
@@ -194,7 +225,7 @@ def pairs(triples: DataFrame, path: Path, seeds: DataFrame | None = None) -> Dat
         first = pairs(triples, path.first, seeds)
         middle = written(first, "path-middle") if seeds is not None or isinstance(path.second, Repeated) else first
         then = pairs(triples, path.second, middle.select(F.col("node").alias("source")).distinct())
-        return middle.withColumnRenamed("node", "__via").join(then.withColumnRenamed("source", "__via"), "__via").select("source", "node")
+        return _met(middle.withColumnRenamed("node", "__via"), then.withColumnRenamed("source", "__via")).select("source", "node")
     if isinstance(path, Alternative):
         return pairs(triples, path.one, seeds).unionByName(pairs(triples, path.other, seeds))
     return _closure(triples, path, seeds)

@@ -107,3 +107,17 @@ def test_strong_components_of_random_graphs(spark, seed):
     got = {r.node: r.component for r in strong_components(spark.createDataFrame(edges, "a string, b string").coalesce(1)).collect()}
     assert {(a, b) for a in got for b in got if a != b and got[a] == got[b]} == want
     assert spark.createDataFrame([("a", "a"), ("a", "b")], "a string, b string").transform(strong_components).where(F.col("node").isNotNull()).count() == 0
+
+
+def test_joins_that_make_many_rows_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(paths, "CELL", 1000, raising=False)
+    # one hub between many ends, one way twice, and nodes with few ends
+    rows = [(f"a{i}", "in", "hub") for i in range(300)] + [("a0", "way", "hub")] + [("hub", "out", f"b{i}") for i in range(70)] + [("x", "in", "y"), ("y", "out", "z"), ("z", "out", "x")]
+    df = make(spark, rows)
+    path = p("in", "way") / p("out")
+    want = sorted(brute(path, rows, None))
+    assert len(want) == 301 * 70 + 1
+    for seeds in (None, spark.createDataFrame([(s,) for s, _, _ in rows], "source string")):
+        out = paths.pairs(df, path, seeds)
+        assert sorted(tuple(r) for r in out.collect()) == want
+        assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < len(want) / 2
