@@ -16,6 +16,7 @@ from graphloom.functions.compound import UnitRegistry
 from graphloom.functions.registry import Entry, Registry
 from graphloom.functions.units import base_expression
 from graphloom.operators import quantities
+from graphloom.workspace import written
 
 ELEMENT = "struct<v:double,d:array<int>>"
 
@@ -62,6 +63,7 @@ def evaluate(routes: DataFrame, sources: DataFrame, registry: Registry, units: U
     without one a value comes in base units, whose product is told. A value without a unit stays a plain number.
     """
     known = _constants(registry, units, routes.sparkSession)
+    routes = written(routes, "found")
     given = units.resolve(sources.select("node", F.col("value").cast("double").alias("value"), "unit"), "unit")
     plain = F.col("unit").isNull()
     base = F.when(plain, F.col("value")).otherwise(F.col("value") * F.col("meaning.multiplier") + F.col("meaning.offset"))

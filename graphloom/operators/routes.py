@@ -2,7 +2,7 @@
 
 A node is derived by mapping, instance or subclass steps from one other node, or by a function from
 all of its inputs together. Costs add up. The search is a fixed point over DataFrames: every round
-joins the routes known so far with the steps they can feed; it ends when no list changes. A route is
+makes the routes of those nodes anew that have an input whose routes changed; it ends when no list changes. A route is
 dropped only if ``k`` cheaper ones of its node pass no other nodes than it does, since each of those can
 then stand in for it wherever it could be used; so the ``k`` cheapest routes of a target are never lost.
 Only nodes behind the targets take part, steps that can only lead back to their own inputs are taken out
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms
 from graphloom.functions.names import PREFIXES
-from graphloom.operators.closure import reach
 from graphloom.workspace import written
 
 #: Default costs of steps.
@@ -65,51 +64,77 @@ def cheapest(steps_: DataFrame, sources: DataFrame, targets: DataFrame, k: int =
     the target back, a node that is used twice being derived twice. Routes that pass a node on their own
     way are left out.
     """
-    behind = reach(steps_.select(F.col("output").alias("a"), F.col("input").alias("b")), targets.select(F.col("node").alias("source")), include_seeds=True).select(F.col("node").alias("output")).distinct()
-    own = _useful(steps_.join(behind, "output", "left_semi"), targets)
+    steps_ = written(steps_, "steps")
+    own = _useful(steps_.join(_behind(steps_, targets), "output", "left_semi"), targets)
     cyclic = written(_cyclic(own), "cycles").withColumn("cyclic", F.lit(True))
+    alike = cyclic.isEmpty()
+    own = own.withColumn("last", F.max("position").over(Window.partitionBy("output", "step")))
     own = written(own.join(cyclic.withColumnRenamed("node", "output"), "output", "left"), "steps")
     passed = lambda name: F.when(F.col("cyclic"), F.array(name)).otherwise(F.array().cast("array<string>"))
-    arity = own.groupBy("output", "step").agg(F.max("position").alias("last"))
+    # the cheapest route stays the first however often it is there
+    once = lambda df: df if alike and k == 1 else df.dropDuplicates(["node", "route"])
     widest = own.agg(F.max("position")).first()[0] or 0
     base = sources.join(cyclic, "node", "left").select("node", F.coalesce("cost", F.lit(0.0)).alias("cost"), F.array(F.concat_ws(" ", F.lit("value"), "node")).alias("route"), passed("node").alias("nodes"))
-    best = written(base, "routes")
-    before = None
+    best = written(_top(once(base), ["node"], k, alike), "routes")
+    base, fresh = best, best.select("node").distinct()
     while True:
-        grown = None
-        partial = own.where("position = 0").join(best.withColumnsRenamed({"cost": "c", "node": "input"}), "input").where(~F.array_contains("nodes", F.col("output")))
-        partial = partial.select("output", "step", (F.col("cost") + F.col("c")).alias("cost"), F.concat(F.array("step"), "route").alias("route"), F.array_sort(F.array_union(passed("output"), "nodes")).alias("nodes"))
+        due = written(own.join(fresh, own["input"] == fresh["node"], "left_semi").select("output").distinct(), "due")
+        if due.isEmpty():
+            break
+        mine, nodes = own.join(due, "output", "left_semi"), due.withColumnRenamed("output", "node")
+        grown = base.join(nodes, "node", "left_semi")
+        partial = mine.where("position = 0").join(best.withColumnsRenamed({"cost": "c", "node": "input"}), "input").where(~F.array_contains("nodes", F.col("output")))
+        partial = partial.select("output", "step", "last", (F.col("cost") + F.col("c")).alias("cost"), F.concat(F.array("step"), "route").alias("route"), F.array_sort(F.array_union(passed("output"), "nodes")).alias("nodes"))
         for position in range(widest + 1):
             if position:
-                more = own.where(F.col("position") == position).select("output", "step", "input")
-                partial = partial.join(more, ["output", "step"]).join(best.select(F.col("node").alias("input"), F.col("cost").alias("c"), F.col("route").alias("r"), F.col("nodes").alias("n")), "input")
-                partial = partial.where(~F.array_contains("n", F.col("output"))).select("output", "step", (F.col("cost") + F.col("c")).alias("cost"), F.concat("route", "r").alias("route"), F.array_sort(F.array_union("nodes", "n")).alias("nodes"))
-                partial = _top(partial, ["output", "step"], k)
-            done = partial.join(arity.where(F.col("last") == position), ["output", "step"], "left_semi").select(F.col("output").alias("node"), "cost", "route", "nodes")
-            grown = done if grown is None else grown.unionByName(done)
-        best = written(_top(base.unionByName(grown).dropDuplicates(["node", "route"]), ["node"], k), "routes")
-        now = best.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "route").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+                more = mine.where(F.col("position") == position).select("output", "step", "input")
+                partial = partial.where(F.col("last") >= position).join(more, ["output", "step"]).join(best.select(F.col("node").alias("input"), F.col("cost").alias("c"), F.col("route").alias("r"), F.col("nodes").alias("n")), "input")
+                partial = partial.where(~F.array_contains("n", F.col("output"))).select("output", "step", "last", (F.col("cost") + F.col("c")).alias("cost"), F.concat("route", "r").alias("route"), F.array_sort(F.array_union("nodes", "n")).alias("nodes"))
+                partial = _top(partial, ["output", "step", "last"], k, alike)
+            done = partial.where(F.col("last") == position).select(F.col("output").alias("node"), "cost", "route", "nodes")
+            grown = grown.unionByName(done)
+        made = written(_top(once(grown), ["node"], k, alike), "made")
+        fresh = written(_differing(made, best.join(nodes, "node", "left_semi")), "fresh")
+        best = written(best.join(nodes, "node", "left_anti").unionByName(made), "routes")
     ranked = best.join(targets.select("node").distinct(), "node").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("cost", "route")))
     return ranked.where(F.col("rank") <= k).select(F.col("node").alias("target"), "rank", "cost", "route")
 
 
+def _behind(steps_: DataFrame, targets: DataFrame) -> DataFrame:
+    """The nodes (output) that some target is derived from, and the targets; nodes alone, not pairs with each target."""
+    front = written(targets.select(F.col("node").alias("output")).where("output IS NOT NULL").distinct(), "behind")
+    known, turn = front, 0
+    while not front.isEmpty():
+        turn += 1
+        step = steps_.join(front, "output", "left_semi").select(F.col("input").alias("output")).where("output IS NOT NULL").distinct()
+        front = written(step.join(known, "output", "left_anti"), "behind")
+        known = known.unionByName(front)
+        if turn % 16 == 0:
+            known = written(known, "behind")
+    return known
+
+
+def _differing(now: DataFrame, before: DataFrame) -> DataFrame:
+    """The nodes whose routes are not the same in both."""
+    digest = lambda df, name: df.groupBy("node").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", "route").cast("decimal(38,0)")).alias("h")).alias(name))
+    return digest(now, "now").join(digest(before, "before"), "node", "full").where(~F.col("now").eqNullSafe(F.col("before"))).select("node")
+
+
 def _useful(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Steps to a target, or to a node that some other than their own inputs is derived from."""
-    aims = targets.select(F.col("node").alias("output")).distinct()
-    rows, before = written(rows, "steps"), None
+    aims = targets.select(F.col("node").alias("output")).distinct().withColumn("aim", F.lit(True))
+    rows, before = written(rows.join(aims, "output", "left"), "steps"), None
     while (n := rows.count()) != before:
         before = n
         # a node (output) and what is derived from it (input), turned so that they meet the step back
         uses = rows.select(F.col("input").alias("output"), F.col("output").alias("input")).distinct()
-        back = rows.join(uses, ["output", "input"]).groupBy("output", "step").agg(F.countDistinct("input").alias("back"))
-        used = rows.select("output", "step").distinct().join(uses.groupBy("output").agg(F.count(F.lit(1)).alias("uses")), "output")
+        # steps to a target stay anyway
+        open_ = rows.where("aim IS NULL")
+        back = open_.join(uses, ["output", "input"]).groupBy("output", "step").agg(F.size(F.collect_set("input")).alias("back"))
+        used = open_.where("position = 0").select("output", "step").join(uses.groupBy("output").agg(F.count(F.lit(1)).alias("uses")), "output")
         ahead = used.join(back, ["output", "step"], "left").where(F.col("uses") > F.coalesce("back", F.lit(0))).select("output", "step")
-        final = rows.join(aims, "output", "left_semi").select("output", "step")
-        rows = written(rows.join(ahead.unionByName(final), ["output", "step"], "left_semi"), "steps")
-    return rows
+        rows = written(rows.where("aim").unionByName(open_.join(ahead, ["output", "step"], "left_semi")), "steps")
+    return rows.drop("aim")
 
 
 def _cyclic(rows: DataFrame) -> DataFrame:
@@ -124,11 +149,13 @@ def _cyclic(rows: DataFrame) -> DataFrame:
         edges = edges.join(made, "input", "left_semi").join(fed, "output", "left_semi")
 
 
-def _top(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Rows (cost, route, nodes) without those that ``k`` cheaper ones of their key make needless."""
+def _top(rows: DataFrame, keys: list[str], k: int, alike: bool) -> DataFrame:
+    """Rows (cost, route, nodes) without those that ``k`` cheaper ones of their key make needless; ``alike`` if all pass the same nodes."""
     # of routes over the same nodes k are enough, which is settled before any list is made
-    alike = Window.partitionBy(*keys, "nodes").orderBy("cost", "route")
-    rows = rows.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k).drop("n")
+    same = Window.partitionBy(*keys, *([] if alike else ["nodes"])).orderBy("cost", "route")
+    rows = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k).drop("n")
+    if alike:
+        return rows
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cost", "route", "nodes"))).alias("all"))
     within = lambda y, x: F.size(F.array_except(y["nodes"], x["nodes"])) == 0
     keep = lambda acc, x: F.when(F.size(F.filter(acc, lambda y: within(y, x))) < k, F.concat(acc, F.array(x))).otherwise(acc)

@@ -166,10 +166,11 @@ def q83_route_values(spark, sf):
     mass = part.select(iri("mass").alias("iri"), F.lit(f"{X}#Mass").alias("type"), F.col("p_retailprice").alias("value"), F.lit(f"{X}/unit/g").alias("unit"))
     length = part.select(iri("size").alias("iri"), F.lit(f"{X}#Length").alias("type"), F.col("p_size").alias("value"), F.when(F.col("p_size") % 2 == 0, f"{X}/unit/mm").otherwise(f"{X}/unit/cm").alias("unit"))
     triples = quantities.quantity_triples(mass.unionByName(length)).unionByName(described.map_triples(part.select(iri("size").alias("source"), iri("length").alias("target"), F.lit(None).cast("double").alias("cost"))))
+    triples = written(triples, "triples")
     calls = part.select(F.lit("density").alias("function"), F.array(iri("mass"), iri("length")).alias("inputs"), iri("density").alias("output"), F.lit(None).cast("double").alias("cost"))
     functions = Registry()
     functions.add("density", lambda m, l: m / l, ["mass", "length"], "density", input_units=["kg", "m"], output_unit="kg/m")  # noqa: E741
-    sources = route_values.sources_of(triples)
+    sources = written(route_values.sources_of(triples), "sources")
     targets = part.select(iri("density").alias("node"))
     found = routes.cheapest(routes.steps(triples, functions=calls), sources.select("node", F.lit(0.0).alias("cost")), targets, k=1)
     out = route_values.evaluate(found, sources, functions, _registry(spark), targets.withColumn("unit", F.lit("g/cm")))

@@ -122,3 +122,19 @@ def test_two_way_edges_with_leaves_equal_enumeration(spark):
     got = cheapest(spark, [(x, routes.MAPS_TO, y) for x, y in links], list(own.items()), ["t", "leaf0"], k=5)
     for target in ("t", "leaf0"):
         assert [cost for name, _, cost, _ in got if name == target] == sorted(ways(target, {target}))[:5]
+
+
+def test_rounds_make_only_what_has_new_inputs(spark, monkeypatch):
+    made, top = [], routes._top
+
+    def counted(rows, *args):
+        out = top(rows, *args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(routes, "_top", counted)
+    # a chain of functions: each round settles one node more
+    calls = spark.createDataFrame([(f"f{i}", [f"n{i}"], f"n{i + 1}", 1.0) for i in range(5)], "function string, inputs array<string>, output string, cost double")
+    got = cheapest(spark, [], [("n0", 0.5)], ["n5"], calls)
+    assert got == [("n5", 1, 5.5, [*[f"function f{i}" for i in range(4, -1, -1)], "value n0"])]
+    assert sum(made) == 6
