@@ -177,7 +177,7 @@ def _closure(triples: DataFrame, path: Path, seeds: DataFrame | None) -> DataFra
 # -- evaluation ----------------------------------------------------------------------------------
 
 #: Rows that one cell of a join makes, about, and the most cells of a join, about; larger joins have larger cells.
-CELL, CELLS = 1 << 24, 8192
+CELL, CELLS = 1 << 20, 8192
 
 
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:

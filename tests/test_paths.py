@@ -121,3 +121,10 @@ def test_joins_that_make_many_rows_are_dealt_to_many_tasks(spark, monkeypatch):
         out = paths.pairs(df, path, seeds)
         assert sorted(tuple(r) for r in out.collect()) == want
         assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < len(want) / 2
+
+
+def test_cells_are_small_enough_for_eight_million_rows(spark):
+    rows = [(f"a{i}", "in", "hub") for i in range(4000)] + [("hub", "out", f"b{i}") for i in range(2000)]
+    out = paths.pairs(make(spark, rows), p("in") / p("out"))
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 8_000_000 and max(tasks) < 4_000_000
