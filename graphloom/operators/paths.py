@@ -202,6 +202,8 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     def dealt(df: DataFrame, own: str, size: str, along: str, copies: str) -> DataFrame:
         # by place in written files, so that equal rows are dealt too and a retried task deals alike
         df = written(df, "path-side").withColumn("__place", F.xxhash64(F.monotonically_increasing_id()))
+        # few files hold the rows, which become many: one task for a file would make all its copies
+        df = df.repartition(left.sparkSession.sparkContext.defaultParallelism, "__place")
         df = df.join(sizes, "__via").withColumn(own, F.pmod("__place", F.col(size)).cast("int"))
         return df.withColumn(along, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop("__place", "high", "wide").repartition(tasks, *cell)
 
